@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing
+from tessera.llm import bpe, packing, warc
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        d as (select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, sha256(h) as payload_digest from p),
+        f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by 1)
+        select page_id, payload_bytes, d.payload_digest as payload_digest,
+               case when first_id < page_id then 'revisit' else 'response' end as record_type,
+               case when first_id < page_id then first_id end as refers_to
+        from d left join f on d.payload_digest = f.payload_digest and payload_bytes >= 100
+    """,
+}
