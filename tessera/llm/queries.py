@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing, warc
+from tessera.llm import bpe, packing, quality, warc
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
