@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing, quality, warc
+from tessera.llm import bpe, merkle, packing, quality, warc
+
+
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_and_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_merkle": op2_merkle,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
