@@ -109,8 +109,9 @@ def compare(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]]]:
     for p, q in zip(left, right, strict=False):
         front, back = _same_ends(p.leaves, q.leaves)
         begin, end = sum(len(x) + 1 for x in p.leaves[:front]), sum(len(x) + 1 for x in p.leaves[len(p.leaves) - back :])
-        shared += begin + end
-        spans.append((p.start + min(begin, len(p.text)), p.start + len(p.text) - min(end, len(p.text))))
+        shared += min(begin + end, p.weight)
+        begin = min(begin, len(p.text))
+        spans.append((p.start + begin, p.start + max(begin, len(p.text) - end)))
     return min(1.0, shared / max(a.weight, b.weight)), sorted(spans)
 
 
