@@ -44,6 +44,7 @@ class Scratch:
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
         df.write.mode("overwrite").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of this step
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, merkle, packing, quality, warc
+from tessera.llm import bpe, merkle, packing, quality, substring, warc
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_merkle": op2_merkle,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_substring": op5_substring,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
 }
