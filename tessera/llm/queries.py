@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, merkle, packing, quality, substring, warc
+from tessera.llm import bpe, merkle, packing, quality, substring, suffix, warc
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_substring": op5_substring,
+    "op6_suffix": op6_suffix,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
 }
