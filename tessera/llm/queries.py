@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, merkle, packing, quality, substring, suffix, warc
+from tessera.llm import bpe, jaccard, merkle, packing, quality, substring, suffix, warc
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=100)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=0.8, ngram=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_merkle": op2_merkle,
     "op3_quality": op3_quality,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix": op6_suffix,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
