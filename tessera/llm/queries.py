@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard, merkle, packing, quality, substring, suffix, warc
+from tessera.llm import bpe, jaccard, merkle, packing, pivots, quality, substring, suffix, warc
+
+
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivots": op1_pivots,
     "op2_merkle": op2_merkle,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
