@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, merkle, packing, pivots, quality, substring, suffix, warc
+from tessera.llm import bpe, jaccard, merkle, packing, pivots, quality, substring, suffix, toolcalls, warc
 
 
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = toolcalls.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    out = toolcalls.link(turns, toolcalls.REPLY)
+    return out.select("conv_id", "turn", "kind", "call_id", "linked", "n_results", "level", "valid", F.size("problems").alias("n_problems"), F.length("canonical").alias("n_chars"), F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -56,12 +63,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_substring": op5_substring,
     "op6_suffix": op6_suffix,
+    "op7_toolcalls": op7_toolcalls,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_toolcalls": """
+        with c as (select conv_id, turn, case role when 'user' then 'call' when 'assistant' then 'result' else role end as kind,
+                          case role when 'user' then conv_id || '-' || turn when 'assistant' then conv_id || '-' || (turn - 1) end as call_id, text
+                   from conversations),
+        a as (select conv_id, call_id, count(*) as k, min(turn) as at, arg_min(text, turn) as content from c where kind = 'result' group by 1, 2),
+        j as (select c.conv_id as conv_id, c.turn as turn, kind, c.call_id as call_id, k,
+                     case when kind = 'call' then '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || c.call_id || '","name":"reply","result":'
+                          || case when k is null then 'null' else '{"content":' || to_json(content) || ',"turn":' || at || '}' end || '}' end as canonical,
+                     exists (select 1 from c x where x.kind = 'call' and x.conv_id = c.conv_id and x.call_id = c.call_id) as called, length(text) as n
+              from c left join a on kind = 'call' and a.conv_id = c.conv_id and a.call_id = c.call_id)
+        select conv_id, turn, kind, call_id, case kind when 'call' then k is not null when 'result' then called else false end as linked,
+               case when kind = 'call' then coalesce(k, 0) end as n_results, 0 as level, case when kind = 'call' then n > 0 end as valid,
+               case when kind = 'call' then cast(n = 0 as int) end as n_problems, length(canonical) as n_chars, sha256(canonical) as canonical_sha256
+        from j
+    """,
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
         d as (select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, sha256(h) as payload_digest from p),
