@@ -74,10 +74,10 @@ ORACLE_SQL: dict[str, str] = {
         with c as (select conv_id, turn, case role when 'user' then 'call' when 'assistant' then 'result' else role end as kind,
                           case role when 'user' then conv_id || '-' || turn when 'assistant' then conv_id || '-' || (turn - 1) end as call_id, text
                    from conversations),
-        a as (select conv_id, call_id, count(*) as k, min(turn) as at, arg_min(text, turn) as content from c where kind = 'result' group by 1, 2),
+        a as (select conv_id, call_id, count(*) as k, min(turn) as at_turn, arg_min(text, turn) as content from c where kind = 'result' group by 1, 2),
         j as (select c.conv_id as conv_id, c.turn as turn, kind, c.call_id as call_id, k,
                      case when kind = 'call' then '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || c.call_id || '","name":"reply","result":'
-                          || case when k is null then 'null' else '{"content":' || to_json(content) || ',"turn":' || at || '}' end || '}' end as canonical,
+                          || case when k is null then 'null' else '{"content":' || to_json(content) || ',"turn":' || at_turn || '}' end || '}' end as canonical,
                      exists (select 1 from c x where x.kind = 'call' and x.conv_id = c.conv_id and x.call_id = c.call_id) as called, length(text) as n
               from c left join a on kind = 'call' and a.conv_id = c.conv_id and a.call_id = c.call_id)
         select conv_id, turn, kind, call_id, case kind when 'call' then k is not null when 'result' then called else false end as linked,
