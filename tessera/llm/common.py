@@ -6,46 +6,35 @@ executor costs a re-read and never a wrong or partial result. Nothing is written
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import shared
+
 #: Rows of one Arrow batch. Bounds the memory of a Python worker on tables of long texts.
 BATCH_ROWS = 512
 #: Stands for a null id inside joins; a null id sorts before all others.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-class Scratch:
+class Scratch(shared.Scratch):
     """Tables of one run of an operator in the shared folder; ``drop`` deletes those that are read no more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        super().__init__(spark, name)
         small_batches(spark)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        df.write.mode("overwrite").parquet(path)
+        out = super().write(df, table)
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of this step
-        return self.spark.read.schema(df.schema).parquet(path)
+        return out
 
     def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -55,7 +55,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     """(did, th, a, b): spans of words to remove from the texts with that id and hash."""
     spark = docs.sparkSession
     scratch, units, rows = Scratch(spark, "substring"), windows.Units("words", window, gram), keyed(docs)
-    heavy = windows.heavy_grams(rows, units, heavy_share)
+    heavy = windows.heavy_grams(rows, units, scratch, heavy_share)
     refs = scratch.write(windows.runs(rows, units, heavy), "runs")
     shared = refs.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("m")
     parts = scratch.write(windows.cut(rows, refs.join(shared, "m"), units), "parts")

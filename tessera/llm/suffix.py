@@ -89,7 +89,7 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, heavy_sh
     """(did, th, a, b): spans of bytes to remove from the texts with that id and hash."""
     spark = docs.sparkSession
     scratch, units, rows = Scratch(spark, "suffix"), windows.Units("bytes", size, min(gram, size)), keyed(docs)
-    heavy = windows.heavy_grams(rows, units, heavy_share)
+    heavy = windows.heavy_grams(rows, units, scratch, heavy_share)
     refs = scratch.write(windows.runs(rows, units, heavy), "runs")
     shared = refs.groupBy("m").agg(F.count("*").alias("k"), F.max("again").alias("any")).where("k > 1 or any").select("m")
     parts = scratch.write(windows.cut(rows, refs.join(shared, "m"), units), "parts")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, map_batches
+from tessera.llm.common import NULL_ID, Scratch, map_batches
 from tessera.llm.hashing import Words, grams_of_bytes, grams_of_words, sliding_min, text_bytes
 
 #: A gram is heavy if it is this share of all grams.
@@ -59,7 +59,7 @@ class Units:
         return [b" ".join(words[s : s + n - 1 + self.size]) for s, n in zip(starts, counts, strict=True)]
 
 
-def heavy_grams(rows: DataFrame, units: Units, share: float = HEAVY_SHARE, least: int = HEAVY_LEAST) -> np.ndarray:
+def heavy_grams(rows: DataFrame, units: Units, scratch: Scratch, share: float = HEAVY_SHARE) -> np.ndarray:
     """Sorted hashes of grams that are ``share`` of all or more.
 
     Each batch reports the grams that are that share of its own; a gram that is a share of the whole is so in some batch.
@@ -78,8 +78,9 @@ def heavy_grams(rows: DataFrame, units: Units, share: float = HEAVY_SHARE, least
         return pa.record_batch([pa.array(np.append(grams[begins[own]].view(np.int64), 0)), pa.array(np.append(counts[own], 0)), pa.array(np.append(np.zeros(own.sum(), np.int64), n))], ["gram", "n", "of"])
 
     found = map_batches(rows.select("text"), run, "gram long, n long, of long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
-    total = F.broadcast(found.agg(F.sum("of").alias("total")))  # one row
-    top = found.join(total).where(F.col("n") >= F.greatest(F.lit(least), share * F.col("total"))).select("gram").collect()
+    found = scratch.write(found, "heavy")
+    total = found.agg(F.sum("of")).collect()[0][0] or 0
+    top = found.where(F.col("n") >= max(HEAVY_LEAST, share * total)).select("gram").collect()
     return np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64))
 
 
