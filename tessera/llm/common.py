@@ -6,6 +6,7 @@ executor costs a re-read and never a wrong or partial result. Nothing is written
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,7 +34,9 @@ class Scratch(shared.Scratch):
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         out = super().write(df, table)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of this step
+        for _ in range(2):  # lets Spark's cleaner delete the shuffle files of this step; it follows the first, not at once
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
         return out
 
     def drop(self, *tables: str) -> None:

@@ -91,7 +91,7 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, heavy_sh
     scratch, units, rows = Scratch(spark, "suffix"), windows.Units("bytes", size, min(gram, size)), keyed(docs)
     heavy = windows.heavy_grams(rows, units, scratch, heavy_share)
     refs = scratch.write(windows.runs(rows, units, heavy), "runs")
-    shared = refs.groupBy("m").agg(F.count("*").alias("k"), F.max("again").alias("any")).where("k > 1 or any").select("m")
+    shared = refs.groupBy("m").agg(F.count("*").alias("k"), F.max(F.expr(windows.AGAIN)).alias("any")).where("k > 1 or any").select("m")
     parts = scratch.write(windows.cut(rows, refs.join(shared, "m"), units), "parts")
     scratch.drop("runs")
     distinct = parts.groupBy("m", "digest").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.first("n").alias("n"), F.first("packed").alias("packed"))

@@ -98,8 +98,9 @@ def _behind(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def runs(rows: DataFrame, units: Units, heavy: np.ndarray) -> DataFrame:
-    """(m, did, th, start, n, again) of each run: n windows from unit ``start`` on have minimiser m. again: the leftmost
-    place of the minimiser changes within the run, so windows of this run may equal each other."""
+    """(m, did, th, at) of each run: n windows from unit ``start`` on have minimiser m. again: the leftmost place of the
+    minimiser changes within the run, so windows of this run may equal each other. at: all three in one number, since
+    these rows are many."""
     held = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded: see heavy_grams
     width = units.size - units.gram + 1
 
@@ -128,25 +129,30 @@ def runs(rows: DataFrame, units: Units, heavy: np.ndarray) -> DataFrame:
         doc = row[at]
         take = pa.array(doc)
         return pa.record_batch(
-            [pa.array(least[at].view(np.int64)), batch["did"].take(take), batch["th"].take(take), pa.array(at - first[doc]), pa.array(count), pa.array(again)],
-            ["m", "did", "th", "start", "n", "again"],
+            [pa.array(least[at].view(np.int64)), batch["did"].take(take), batch["th"].take(take), pa.array((at - first[doc]) << 14 | count << 1 | again)],
+            ["m", "did", "th", "at"],
         )
 
-    return map_batches(rows.select("did", "th", "text"), run, "m long, did long, th long, start long, n long, again boolean")
+    return map_batches(rows.select("did", "th", "text"), run, "m long, did long, th long, at long")
+
+
+#: Whether windows of a run may equal each other, as SQL.
+AGAIN = "at & 1 = 1"
 
 
 def cut(texts: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
     """(m, did, th, start, n, again, packed, digest) of each wanted run, for each row of texts (did, th, text).
 
-    wanted: (m, did, th, start, n, again).
+    wanted: (m, did, th, at).
     """
-    by_text = wanted.groupBy("did", "th").agg(F.collect_set(F.struct("m", "start", "n", "again")).alias("runs"))  # as bounded as the text
+    by_text = wanted.groupBy("did", "th").agg(F.collect_set(F.struct("m", "at")).alias("runs"))  # as bounded as the text
     kinds = {"m": pa.int64(), "did": pa.int64(), "th": pa.int64(), "start": pa.int64(), "n": pa.int64(), "again": pa.bool_(), "packed": pa.binary(), "digest": pa.binary()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [[] for _ in kinds]
         for d, t, text, own in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), batch["text"].to_pylist(), batch["runs"], strict=True):
-            m, start, n, again = (own.values.field(k).to_pylist() for k in range(4))
+            m, at = own.values.field(0).to_pylist(), own.values.field(1).to_pylist()
+            start, n, again = [x >> 14 for x in at], [x >> 1 & 8191 for x in at], [bool(x & 1) for x in at]
             packed = units.packed(text, start, n)
             digest = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
             for column, values in zip(out, (m, [d] * len(m), [t] * len(m), start, n, again, packed, digest), strict=True):
