@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, strings
 CAPACITY = 2048
 #: Chunks that a worker remembers; then it starts afresh.
 REMEMBERED = 400_000
+#: Chunks that one call of the tokenizer encodes, and characters of texts whose chunks are learnt together.
+AT_ONCE, GROUP = 8192, 4_000_000
 #: Buckets that ranks of one length are counted in.
 BUCKETS = 1024
 
@@ -37,6 +41,7 @@ BUCKETS = 1024
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
     return Tokenizer.from_file(path)
 
 
@@ -44,13 +49,17 @@ class _Remembered(dict):
     """Ids of " " + chunk, as bytes of little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode
+        self.tokenizer = _tokenizer(path)
 
-    def __missing__(self, chunk: str) -> bytes:
+    def learn(self, chunks: set[str]) -> None:
+        """Encode those that aren't known, many at a call."""
         if len(self) > REMEMBERED:
             self.clear()
-        ids = self[chunk] = np.array(self.encode(" " + chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        new = [x for x in chunks if x not in self]
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([f" {x}" for x in part], add_special_tokens=False), strict=True):
+                self[chunk] = np.array(found.ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,16 +76,33 @@ _OTHER_SPACE = [chr(i) for i in range(0x80, 0x3001) if chr(i).isspace()]
 _NEAR_SPACE = [f"{chr(i)} " for i in range(0x80) if chr(i).isspace() and chr(i) != " "] + [f" {chr(i)}" for i in range(0x80) if chr(i).isspace() and chr(i) != " "]
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers."""
-    if not text:
-        return b""
-    if not _splittable(text):
-        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about GROUP characters, or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
+def all_token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
     known = _remembered(path)
-    head, *rest = text.split(" ")
-    first = np.array(_tokenizer(path).encode(head, add_special_tokens=False).ids, "<u4").tobytes()
-    return first + b"".join([known[x] for x in rest])
+    encode = lambda text: np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+    for group in _groups(texts):
+        parts = [text.split(" ") if _splittable(text) else [text] for text in group]
+        known.learn({x for _, *rest in parts for x in rest})
+        for head, *rest in parts:
+            yield encode(head) + b"".join([known[x] for x in rest])
+
+
+def token_bytes(text: str, path: str) -> bytes:
+    """The ids of one text."""
+    return next(all_token_bytes([text], path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -85,8 +111,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for did, th, text in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), strings(batch["text"]), strict=True):
-            ids = token_bytes(text, path) + end
+        for did, th, ids in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), all_token_bytes(strings(batch["text"]), path), strict=True):
+            ids += end
             n = len(ids) // 4
             at = 0
             for piece in range(-(-n // capacity)):
