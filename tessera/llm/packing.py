@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import zlib
 from collections import defaultdict
@@ -31,6 +32,8 @@ from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, strings
 CAPACITY = 2048
 #: Chunks that a worker remembers; then it starts afresh.
 REMEMBERED = 400_000
+#: How the vocabulary writes a space.
+SPACE = "\u0120"
 #: Chunks that one call of the tokenizer encodes, and characters of texts whose chunks are learnt together.
 AT_ONCE, GROUP = 8192, 4_000_000
 #: Buckets that ranks of one length are counted in.
@@ -50,16 +53,22 @@ class _Remembered(dict):
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token begins with a space
+        self.opens[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode those that aren't known, many at a call."""
+        """Encode those that aren't known, many at a call; each begins with the only space it has."""
         if len(self) > REMEMBERED:
             self.clear()
-        new = [x for x in chunks if x not in self]
+        new = list(chunks.difference(self))
         for at in range(0, len(new), AT_ONCE):
             part = new[at : at + AT_ONCE]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([f" {x}" for x in part], add_special_tokens=False), strict=True):
-                self[chunk] = np.array(found.ids, "<u4").tobytes()
+            (found,) = self.tokenizer.encode_batch_fast([f" {' '.join(part)}"], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+            data = ids.tobytes()
+            self.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
 
 @functools.lru_cache(maxsize=1)
@@ -95,9 +104,9 @@ def all_token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     encode = lambda text: np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
     for group in _groups(texts):
         parts = [text.split(" ") if _splittable(text) else [text] for text in group]
-        known.learn({x for _, *rest in parts for x in rest})
+        known.learn(set(itertools.chain.from_iterable(itertools.islice(x, 1, None) for x in parts)))
         for head, *rest in parts:
-            yield encode(head) + b"".join([known[x] for x in rest])
+            yield encode(head) + b"".join(map(known.__getitem__, rest))
 
 
 def token_bytes(text: str, path: str) -> bytes:
