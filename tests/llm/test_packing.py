@@ -14,6 +14,14 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sé🙂 \n\t\u00a0\u3000 1,<|"), max_size=40), max_size=6))
+def test_texts_together_have_the_ids_of_each(texts):
+    packing._remembered(PATH).clear()
+    for text, found in zip(texts, packing.all_token_bytes(texts, PATH), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
+
+
 def sequences(counts, capacity):
     """Check a plan; the number of its sequences."""
     filled, ranks = defaultdict(list), Counter()
