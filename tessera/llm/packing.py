@@ -155,7 +155,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             groups[size].append((seq, n))
 
     large = sorted(k for k in left if 3 * k > capacity)
-    for size in reversed(large):
+    for size in sorted(large, reverse=True):  # a copy, for used-up partners leave the list
         while n := left[size]:
             fits = bisect.bisect_right(large, capacity - size)
             while fits and not left[large[fits - 1]]:
@@ -202,6 +202,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
                 give(size, m, seq, capacity - room + j * size)
             if m:
                 gap(room - each * size, seq, m)
+    assert not any(left.values()), "pieces without a place"
     return out
 
 

@@ -48,6 +48,13 @@ def test_plan(counts):
     assert n <= 11 * total / 30 / 9 * 2 + 2
 
 
+def test_plan_reaches_lengths_below_used_up_partners():
+    assert sequences({1300: 4, 702: 1, 701: 1, 700: 1, 690: 10}, 2048) == 4 + 5  # one 690 is beside a 1300
+    rng = random.Random(2)
+    for _ in range(300):
+        sequences({rng.randint(683, 2048): rng.choice((1, 2, 3, 50)) for _ in range(rng.randint(1, 300))}, 2048)
+
+
 def test_plan_is_close_to_the_bound():
     rng = random.Random(1)
     counts = Counter(min(2048, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(20_000))
