@@ -1,13 +1,17 @@
 """N-gram Jaccard join by chosen paths.
 
-Each text becomes the set of its word n-grams and a row of min-hashes, one a place. From the root of each of several
-independent runs, a node of the recursion samples places (1/similarity of them on average) and splits its sets by their
-min-hash there: the sampled tokens that sets share. A node with few sets is searched by brute force; larger ones are
-split again, level by level, as one shuffle for all nodes of a level. Nodes that are still large at the last level are
-searched in pairs of blocks. Sets that share a leaf are compared by their min-hashes and then, exactly, by their n-grams.
-
-A pair at the similarity wanted shares a leaf of one run with a probability of 0.6 or more down to some ten levels
-(0.8 at the first), so ``RUNS`` = 10 runs miss it with one of 0.4 ** 10, about 1e-4; likelier pairs are missed less.
+Each text becomes the set of its word n-grams. From the root of each of several runs, a node of the recursion draws
+min-hashes of its own (1/similarity of them on average) and splits its sets by them: the sampled n-grams that sets share.
+No two nodes, and so no two runs, have a min-hash in common. A node with few sets is searched by brute force; larger ones
+are split again, level by level, as one shuffle for all nodes of a level. Nodes that are still large at the last level are
+searched in pairs of blocks. Sets that share a leaf are compared by a row of further min-hashes and then, exactly, by
+their n-grams.
+
+A pair at the similarity wanted shares a node at level 1 of one run with a probability of 0.84 (at 0.8), at level 4 of
+0.58, at level 8 of 0.41. ``runs_needed`` counts the runs after which it is missed with ``MISS`` at most: 10 down to level
+3, 18 at level 8. All sets take part in the runs that level ``FIRST`` needs; sets that were in a node too large for a leaf
+take part in as many as the deepest level that was reached needs. Of two sets at the similarity, one of which never was in
+such a node, level 1 alone decides, and the first runs are enough. Likelier pairs are missed less.
 
 Equal sets are one class before the join. In a leaf, a pair counts only if no smaller leaf has both, so links are counted
 once without ever being written as pairs: a leaf gives each set its number of links, and a spanning tree.
@@ -15,7 +19,9 @@ once without ever being written as pairs: a leaf gives each set its number of li
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -29,11 +35,13 @@ from tessera.operators.components import components
 from tessera.llm.hashing import Words, grams_of_words, mix
 
 NGRAM, SIMILARITY = 5, 0.8
-PLACES, RUNS, LEVELS = 64, 10, 8
+PLACES, LEVELS = 64, 8
+#: Chances that a pair at the similarity shares no leaf, and that its rows of min-hashes differ too much to be verified.
+MISS, FILTERED = 8e-5, 2e-5
+#: The level whose number of runs all sets take part in.
+FIRST = 3
 #: Sets of a node that are searched by brute force.
 LEAF = 1024
-#: Standard deviations below the expected number of equal min-hashes at which a pair is still verified.
-MARGIN = 4.0
 
 
 def shingles(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +75,42 @@ def signatures(row: np.ndarray, grams: np.ndarray, places: int = PLACES) -> np.n
     return out
 
 
-def children(keys: np.ndarray, signature: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(which, key): the nodes that sets at the given nodes go to; a node samples 1/similarity places on average."""
+def runs_needed(depth: int, similarity: float = SIMILARITY, miss: float = MISS) -> int:
+    """Runs after which a pair at the similarity has shared no node at ``depth`` with a probability of ``miss`` at most."""
+    more = int(1 / similarity)
+    split, rest = 0.0, (1 / similarity - more) * similarity
+    for _ in range(depth):  # the chance that one more level leaves the pair no common node
+        split = (1 - similarity + similarity * split) ** more * (1 - rest + rest * split)
+    return max(1, math.ceil(math.log(miss) / math.log(split))) if split > 0 else 1
+
+
+def least_equal(similarity: float, places: int = PLACES, filtered: float = FILTERED) -> int:
+    """The most equal min-hashes that can be asked for so that a pair at the similarity has fewer with ``filtered`` at most."""
+    below = 0.0
+    for k in range(places + 1):
+        below += math.comb(places, k) * similarity**k * (1 - similarity) ** (places - k)
+        if below > filtered:
+            return k
+    return places
+
+
+def roots(first: int, end: int) -> np.ndarray:
+    """The roots of runs ``first`` to ``end`` - 1."""
+    return mix(np.arange(first + 1, end + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
+
+
+def seeds(keys: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The seeds of the min-hashes that the given nodes draw, 1/similarity a node on average."""
     u = mix(keys + np.uint64(1))
-    which, out = [], []
     more = int(1 / similarity)
-    for k in range(more + 1):
-        place = mix(u + np.uint64(k + 7)) % np.uint64(signature.shape[1])
-        chosen = np.arange(len(keys)) if k < more else np.flatnonzero((u >> np.uint64(11)).astype(np.float64) / 2**53 < 1 / similarity - more)
-        p = place[chosen]
-        out.append(mix(keys[chosen] ^ mix(p << np.uint64(32) | signature[chosen, p.astype(np.int64)])))
-        which.append(chosen)
-    return np.concatenate(which), np.concatenate(out)
+    extra = (u >> np.uint64(11)).astype(np.float64) / 2**53 < 1 / similarity - more
+    return np.concatenate([mix((u if k < more else u[extra]) + np.uint64(k + 7)) for k in range(more + 1)])
+
+
+def children(of: np.ndarray, grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The nodes that sets (parts of ``grams``) go to by the min-hashes of the given seeds: a row a seed, a column a set."""
+    least = [np.minimum.reduceat(mix(grams ^ seed), begins) for seed in of]
+    return mix(np.array(least, np.uint64).reshape(len(of), len(begins)) ^ of[:, None])
 
 
 def _signature_rows(column: pa.Array, places: int = PLACES) -> np.ndarray:
@@ -87,8 +119,12 @@ def _signature_rows(column: pa.Array, places: int = PLACES) -> np.ndarray:
 
 def _nodes(similarity: float):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        which, keys = children(batch["node"].to_numpy().view(np.uint64), _signature_rows(batch["sig"]), similarity)
-        return pa.record_batch([pa.array(keys.view(np.int64)), batch["digest"].take(pa.array(which))], ["node", "digest"])
+        out = []
+        for data, nodes in zip(batch["set"].to_pylist(), batch["nodes"].to_pylist(), strict=True):
+            of = seeds(np.array(nodes, np.int64).view(np.uint64), similarity)
+            out.append(children(of, np.frombuffer(data, np.uint64), np.zeros(1, np.int64)).ravel())
+        which = np.repeat(np.arange(len(out)), [len(x) for x in out])
+        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), batch["digest"].take(pa.array(which))], ["node", "digest"])
 
     return run
 
@@ -113,11 +149,10 @@ def _candidates(group: dict, similarity: float) -> np.ndarray:
     """Pairs (as a symmetric matrix) that this node has to decide, by their min-hashes and sizes."""
     sig, n, m = group["sig"], group["n"], len(group["n"])
     places = sig.shape[1]
-    least = similarity * places - MARGIN * np.sqrt(similarity * (1 - similarity) * places)
     equal = np.zeros((m, m), np.int16)
     for j in range(places):
         equal += sig[:, j][:, None] == sig[:, j][None]
-    pairs = equal >= least
+    pairs = equal >= least_equal(similarity, places)
     pairs &= np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n) - 1e-9
     block, pi, pj = group["block"], group["pi"], group["pj"]
     pairs &= ((block == pi)[:, None] & (block == pj)[None]) | ((block == pj)[:, None] & (block == pi)[None])
@@ -202,7 +237,7 @@ def _verify(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM, runs: int = RUNS, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
     """(doc_id, n_links, component_id, kept) of every row: links are pairs whose sets of word n-grams have a Jaccard
     similarity of ``similarity`` or more.
 
@@ -213,38 +248,60 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     """
     spark = docs.sparkSession
     scratch, rows, n_tasks = Scratch(spark, "jaccard"), keyed(docs), partitions(spark)
+    runs = runs_needed(min(FIRST, levels), similarity)
+    start = seeds(roots(0, runs), similarity)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, grams = shingles(batch["text"], ngram)
         begins = np.flatnonzero(np.diff(row, prepend=-1))
         ends, of = np.append(begins[1:], len(row)), row[begins]
-        sig, digest, n = [None] * batch.num_rows, [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
-        for i, a, b, s in zip(of.tolist(), begins.tolist(), ends.tolist(), signatures(row, grams), strict=True):
-            sig[i], digest[i], n[i] = s.tobytes(), hashlib.blake2b(grams[a:b].tobytes(), digest_size=16).digest(), b - a
-        return pa.record_batch([batch["did"], batch["th"], pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(n)], ["did", "th", "digest", "sig", "n"])
-
-    signed = scratch.write(map_batches(rows, sign, "did long, th long, digest binary, sig binary, n long"), "signed")
+        sig, digest, n, nodes = [None] * batch.num_rows, [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+        below = children(start, grams, begins).view(np.int64).T if len(begins) else []
+        for i, a, b, s, own in zip(of.tolist(), begins.tolist(), ends.tolist(), signatures(row, grams), below, strict=True):
+            sig[i], digest[i], n[i], nodes[i] = s.tobytes(), hashlib.blake2b(grams[a:b].tobytes(), digest_size=16).digest(), b - a, own
+        columns = [pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(n), pa.array(nodes, pa.list_(pa.int64()))]
+        return pa.record_batch([batch["did"], batch["th"], *columns], ["did", "th", "digest", "sig", "n", "nodes"])
+
+    signed = scratch.write(map_batches(rows, sign, "did long, th long, digest binary, sig binary, n long, nodes array<long>"), "signed")
     classes = signed.where("digest is not null").groupBy("digest").agg(
-        F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("members"), F.first("sig").alias("sig"), F.first("n").alias("n")
+        F.min(F.struct("did", "th")).alias("first"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("sig", "n", "nodes")]
     )
-    classes = scratch.write(classes.select("digest", F.col("first.did").alias("rep"), "first.th", "members", "sig", "n"), "classes")
-
-    roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED2701)).view(np.int64).tolist()
-    nodes = "node long, digest binary"
-    level = map_batches(classes.select(F.explode(F.array(*[F.lit(r).cast("long") for r in roots])).alias("node"), "digest", "sig"), _nodes(similarity), nodes)
-    leaves = None
-    for depth in range(1, levels + 1):
-        level = scratch.write(level, f"level-{depth}")
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = scratch.write(level.join(sizes, "node"), f"sized-{depth}")
-        scratch.drop(f"level-{depth}")
-        last = depth == levels
-        small = sized if last else sized.where(F.col("size") <= leaf)
-        leaves = small if leaves is None else leaves.unionByName(small)
-        large = sized.where(F.col("size") > leaf)
-        if last or not large.limit(1).count():
-            break
-        level = map_batches(large.select("node", "digest").join(classes.select("digest", "sig"), "digest").select("node", "digest", "sig"), _nodes(similarity), nodes)
+    classes = scratch.write(classes.select("digest", F.col("first.did").alias("rep"), "first.th", "members", "sig", "n", "nodes"), "classes")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, grams = shingles(batch["text"], ngram)
+        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        return pa.record_batch([batch["digest"], pa.array([grams[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["digest", "set"])
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = some.select("digest").distinct().join(classes.select("digest", F.col("rep").alias("did"), "th"), "digest")
+        texts = rows.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
+        return map_batches(texts, sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
+
+    leaves, split = [], None  # split: the n-grams of the sets that were in a node too large for a leaf
+
+    def descend(level: DataFrame, run: int) -> int:
+        """Split until nodes are small; the deepest level."""
+        nonlocal split
+        for depth in range(1, levels + 1):
+            level = scratch.write(level, f"level-{run}-{depth}")
+            sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+            sized = scratch.write(level.join(sizes, "node"), f"sized-{run}-{depth}")
+            scratch.drop(f"level-{run}-{depth}")
+            leaves.append(sized if depth == levels else sized.where(F.col("size") <= leaf))
+            large = sized.where(F.col("size") > leaf)
+            if depth == levels or not large.limit(1).count():
+                return depth
+            if split is None:
+                split = scratch.write(sets_of(large), "split")
+            level = map_batches(large.groupBy("digest").agg(F.collect_list("node").alias("nodes")).join(split, "digest").select("digest", "set", "nodes"), _nodes(similarity), "node long, digest binary")
+
+    deepest = descend(classes.select(F.explode("nodes").alias("node"), "digest"), 0)
+    while (needed := runs_needed(deepest, similarity)) > runs:
+        more = F.array(*[F.lit(r).cast("long") for r in roots(runs, needed).view(np.int64).tolist()])
+        deepest = max(deepest, descend(map_batches(split.select("digest", "set", more.alias("nodes")), _nodes(similarity), "node long, digest binary"), runs))
+        runs = needed
+    leaves = functools.reduce(DataFrame.unionByName, leaves)
 
     # a set's leaves: runs * (1 / similarity) ** levels on average
     keys = leaves.groupBy("digest").agg(F.collect_set(F.struct("node", "size")).alias("leaves"))
@@ -258,15 +315,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     order = ["node", "pi", "pj"]
     short = scratch.write(spread.repartition(n_tasks, *order).sortWithinPartitions(*order).mapInArrow(_shortlist(similarity), schema), "shortlist")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, grams = shingles(batch["text"], ngram)
-        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        return pa.record_batch([batch["digest"], pa.array([grams[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["digest", "set"])
-
-    wanted = short.select("digest").distinct().join(classes.select("digest", F.col("rep").alias("did"), "th"), "digest")
-    texts = rows.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
-    found = map_batches(texts, sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
-    verify = short.join(found, "digest").repartition(n_tasks, *order).sortWithinPartitions(*order)
+    verify = short.join(sets_of(short), "digest").repartition(n_tasks, *order).sortWithinPartitions(*order)
     links = scratch.write(verify.mapInArrow(_verify(similarity), "digest binary, a long, b long, links long"), "links")
 
     groups = components(links.select("a", "b")).withColumnRenamed("id", "rep")

@@ -55,3 +55,16 @@ def test_against_brute_force(spark, leaf):
         assert got[i].component_id == (None if want == -(2**63) else want)
         assert got[i].kept == (want == key)
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pairs_at_the_similarity_are_found_at_the_last_level(spark):
+    assert [jaccard.runs_needed(d) for d in (1, 3, 4, 8)] == [6, 10, 11, 18] and jaccard.least_equal(0.8) == 37
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):  # pairs of 40 words in common and five more each: 40 / 50; no node but one of a single set is a leaf
+        words = [f"{i}-{k}" for k in range(50)]
+        rng.shuffle(words)
+        rows += [(2 * i, " ".join(words[:45])), (2 * i + 1, " ".join(words[5:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.near_duplicates(docs, ngram=1, leaf=1).where("n_links > 0").count()
+    assert found >= 2 * 2997, found
