@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, map_batches
 
-#: Rounds of ordering; calls that still wait for others then are taken to lie on a cycle (level null).
-ROUNDS = 32
-
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -63,40 +60,47 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
-def levels(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(conv_id, call_id, level): calls (conv_id, call_id, turn, depends_on) one a key, each above those it depends on.
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level), calls (conv_id, call_id, turn, depends_on) one a key: by (level, turn), each comes after
+    those that it depends on.
+
+    A call's level is the highest of its dependencies', one more for those that aren't on an earlier turn; 0 without any.
+    Unknown dependencies do not count. The level is null on a cycle, and where a cycle is depended on.
 
-    Where every dependency is on an earlier turn, turns are an order already and all levels are 0. Other conversations
-    are ordered in rounds: a call's level is one above its highest dependency. Unknown dependencies do not count.
+    Where every dependency of a conversation is on an earlier turn, all its levels are 0 by this rule, without a join.
+    The others take as many rounds as their longest chain has calls.
     """
     scratch = Scratch(calls.sparkSession, "levels")
     needs = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("need"))
     there = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    needs = scratch.write(needs.join(there, ["conv_id", "need"]).distinct(), "needs")
-    tangled = needs.where("need_turn >= turn").select("conv_id").distinct()
+    step = F.when(F.col("need_turn") < F.col("turn"), 0).otherwise(1)
+    needs = scratch.write(needs.join(there, ["conv_id", "need"]).distinct().select("conv_id", "call_id", "need", step.alias("step")), "needs")
+    tangled = needs.where("step = 1").select("conv_id").distinct()
     plain = calls.join(tangled, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
     if not tangled.limit(1).count():
         return plain
     rest = scratch.write(calls.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id"), "rest")
-    edges = scratch.write(needs.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id", "need"), "edges")
-    done = scratch.write(rest.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "done-0")
-    for turn in range(1, rounds):
-        open_ = rest.join(done, ["conv_id", "call_id"], "left_anti")
-        known = done.withColumnRenamed("call_id", "need").withColumnRenamed("level", "above")
-        ready = edges.join(open_, ["conv_id", "call_id"], "left_semi").join(known, ["conv_id", "need"], "left").groupBy("conv_id", "call_id")
-        ready = ready.agg(F.max("above").alias("above"), F.max(F.col("above").isNull()).alias("waits")).where("not waits")
-        new = scratch.write(ready.select("conv_id", "call_id", (F.col("above") + 1).alias("level")), f"new-{turn}")
-        if not new.limit(1).count():
-            break
-        done = scratch.write(done.unionByName(new), f"done-{turn}")
-    return plain.unionByName(rest.join(done, ["conv_id", "call_id"], "left"))
+    edges = scratch.write(needs.join(tangled, "conv_id", "left_semi"), "edges")
+    free = scratch.write(rest.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "done-0")
+    done, count, turn = free, free.count(), 0
+    while True:
+        turn += 1
+        known = done.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("above"))
+        ready = edges.join(known, ["conv_id", "need"], "left").groupBy("conv_id", "call_id")
+        ready = ready.agg(F.max(F.col("above") + F.col("step")).alias("level"), F.max(F.col("above").isNull()).alias("waits")).where("not waits")
+        done, before = scratch.write(free.unionByName(ready.drop("waits")), f"done-{turn}"), count
+        count = done.count()
+        if count == before:  # what is left waits for itself
+            return plain.unionByName(rest.join(done, ["conv_id", "call_id"], "left"))
+        if turn > 1:
+            scratch.drop(f"done-{turn - 1}")
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row per message: (conv_id, turn, kind, call_id, linked, n_results, level, valid, problems, canonical).
 
     linked: a call with a result, or a result with a call, in the same conversation. n_results: the results of a call.
-    Order messages by (conv_id, level, turn): calls come after those that they depend on; a level is null on a cycle.
+    Order messages by (conv_id, level, turn): calls come after those that they depend on; see ``levels``.
     valid: arguments are JSON that meets the schema of the call's name; problems say why not. canonical: the call with
     the content and turn of its first result, or null, as canonical JSON; null for other messages.
 

@@ -48,3 +48,19 @@ def test_turns(spark):
     got = {(r.conv_id, r.turn): r for r in toolcalls.link(toolcalls.turns(df), toolcalls.REPLY).collect()}
     assert got[1, 1].canonical == '{"arguments":{"text":"hi","turn":1},"id":"1-1","name":"reply","result":{"content":"ho","turn":2}}'
     assert got[1, 2].linked and not got[1, 3].linked and not got[1, 3].valid and not got[2, 0].valid and len(got) == 6
+
+
+def test_levels_of_long_chains(spark):
+    n = 42
+    rows = [(1, f"c{i}", i, [f"c{i + 1}"] if i < n - 1 else []) for i in range(n)]  # all on the next turn
+    rows += [(2, f"c{i}", i, [f"c{i - 1}"] if i else ["x"]) for i in range(n)] + [(2, "x", n, [])]  # one on a later turn
+    rows += [(3, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(n)] + [(3, "y", n, ["z"]), (3, "z", n + 1, [])]  # beside an unrelated one
+    rows += [(4, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(n)]
+    rows += [(5, "a", 0, ["b"]), (5, "b", 1, ["a"]), (5, "c", 2, ["b"]), (5, "d", 3, []), (5, "e", 4, ["e"])]
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends_on array<string>")).collect()}
+    assert len(got) == len(rows)
+    assert [got[1, f"c{i}"] for i in range(n)] == list(range(n - 1, -1, -1))
+    assert [got[2, f"c{i}"] for i in range(n)] == [1] * n and got[2, "x"] == 0
+    assert [got[3, f"c{i}"] for i in range(n)] == [got[4, f"c{i}"] for i in range(n)] == [0] * n
+    assert (got[3, "y"], got[3, "z"]) == (1, 0)
+    assert [got[5, k] for k in "abcde"] == [None, None, None, 0, None]
