@@ -31,5 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         out = scratch.write(jumped, f"labels-{turn}")
         changed = out.where("label <> old").limit(1).count()
         labels = out.select("id", "label")
+        scratch.drop(f"labels-{turn - 1}")
         if not changed:
+            scratch.drop("edges")
             return labels.withColumnRenamed("label", "component")

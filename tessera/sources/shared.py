@@ -2,28 +2,62 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset in local mode (tests, a laptop), a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, which are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Scratch:
-    """Tables of one run of an operator: written once, reread, and so cut off from the plan that made them."""
+    """Tables of one run of an operator: written once, reread, and so cut off from the plan that made them.
+
+    ``drop`` deletes those that are read no more; what a returned DataFrame reads stays until the folder is cleared.
+    """
+
+    #: Set while a table is written: its shuffle files go as soon as it is there.
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
-        df.write.mode("overwrite").parquet(path)
+        with settings(self.spark, self.SETTINGS):
+            df.select("*").write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: str) -> None:
+        """Delete tables, or with no name all of them."""
+        jvm = self.spark.sparkContext._jvm
+        for table in [f"/{t}" for t in tables] or [""]:
+            path = jvm.org.apache.hadoop.fs.Path(self.root + table)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
