@@ -6,53 +6,52 @@ executor costs a re-read and never a wrong or partial result. Nothing is written
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources import shared
 
-#: Rows of one Arrow batch. Bounds the memory of a Python worker on tables of long texts.
+#: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 512
+#: Bytes of a batch that a function works on at once, or one row: what a worker makes of a text is some ten times as large.
+BATCH_BYTES = 4_000_000
 #: Stands for a null id inside joins; a null id sorts before all others.
 NULL_ID = -(2**63)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 class Scratch(shared.Scratch):
-    """Tables of one run of an operator in the shared folder; ``drop`` deletes those that are read no more."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        super().__init__(spark, name)
-        small_batches(spark)
-
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        out = super().write(df, table)
-        for _ in range(2):  # lets Spark's cleaner delete the shuffle files of this step; it follows the first, not at once
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
-        return out
-
-    def drop(self, *tables: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    SETTINGS = shared.Scratch.SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+
+
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, about ``most`` bytes of strings and binaries at a time."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    if size.sum() <= most:
+        yield batch
+        return
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=0, append=-1))
+    begin = 0
+    for end in cut.tolist():
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """mapInArrow by a function of one batch; it may return None for no rows."""
+    """mapInArrow by a function of a batch of bounded size; it may return None for no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            for part in slices(batch):
+                if part.num_rows and (out := f(part)) is not None:
+                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
 

@@ -1,9 +1,9 @@
 """Merkle-tree fingerprints of documents.
 
-Root: sections, cut where a blank line begins. Section: its paragraphs (lines). Paragraph: its words, the leaves. A node's
-digest covers its children's in order, so equal roots mean equal texts, and two trees are compared from the root down:
-only branches whose digests differ are entered, and leaves are hashed only there. What is left at the end of the descent
-is where the texts were edited.
+Root: sections, cut where a blank line begins. Section: its paragraphs (lines), the leaves. A section's digest and the
+root cover their children's digests in order, so equal roots mean equal texts, and two trees are compared from the root
+down: only branches whose digests differ are entered. In paragraphs that differ, the words at both ends are compared; what
+is left is where the texts were edited.
 """
 
 from __future__ import annotations

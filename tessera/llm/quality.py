@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, map_batches
+from tessera.llm.common import map_batches
 from tessera.llm.hashing import Words, grams_of_words, mix, powers
 
 BITS = 18
@@ -111,10 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     Only ``sample`` ids are broadcast and only 2**18 weights reach the driver. No labelled rows: all weights are 0.
     """
-    Scratch(docs.sparkSession, "quality")  # batch size only
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("lid"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("lid"), "lid", "y").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("lid"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "lid").select("y", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("lid"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "lid")
+    rows = rows.groupBy("lid", "y").agg(F.min("text").alias("text")).select("y", "text")  # an id that many rows have counts once
     sparse = map_batches(rows, _sparse, "y int, place array<int>, value array<float>")
     found = sparse.repartition(1).mapInArrow(_train, "weights binary").collect()
     return np.frombuffer(bytes(found[0].weights), np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
