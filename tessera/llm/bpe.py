@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, strings
+from tessera.llm.common import id_or_null, keyed, map_batches, strings
 
 #: Characters of a chunk, and of what it shares with the next at least.
 CHUNK, OVERLAP = 16_384, 256
+#: White space, as the pattern's engine has it.
+_SPACE = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3001)))))
 #: A boundary in every scan, whatever it began with: no pre-token holds white space after another character.
 _BREAK = regex.compile(r"\S(?=\s)")
 
@@ -41,21 +43,22 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int]]:
-    """(start, start of the next chunk or the text's end, end) of each chunk.
+def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int, bool]]:
+    """(start, start of the next chunk or the text's end, end, whether it is the last) of each chunk.
 
     The part shared with the next chunk is extended until it holds a place where every scan must break; where that lies
-    far off (a long run without white space), the next chunk starts just before it, so the total stays linear.
+    far off (a long run without white space), the next chunk starts just before it, so the total stays linear. Chunks
+    have three times ``overlap`` characters at least.
     """
-    start, n = 0, len(text)
+    start, n, size = 0, len(text), max(size, 3 * overlap)
     while True:
         after = start + size
         if after + overlap >= n or (found := _BREAK.search(text, after + overlap)) is None:
-            yield start, n, n
+            yield start, n, n, True
             return
-        end = min(found.end() + 1, n)  # one white-space character beyond the break, so that the break shows
+        end = found.end() + 1  # one white-space character beyond the break, so that the break shows
         after = max(after, end - 2 * overlap)
-        yield start, after, end
+        yield start, after, end, False
         start = after
 
 
@@ -65,7 +68,7 @@ def boundaries(text: str, pattern: str) -> list[int]:
 
 def _safe(text: str, at: int) -> bool:
     """Whether a slice that ends here is scanned by itself as within the text: after it, white space; before, none."""
-    return 0 < at < len(text) and not text[at - 1].isspace() and text[at].isspace()
+    return 0 < at < len(text) and text[at - 1] not in _SPACE and text[at] in _SPACE
 
 
 def encode_chunk(text: str, after: int, first: bool, last: bool, lead: int, path: str, pattern: str) -> tuple[list[int], list[int], list[int], int]:
@@ -78,7 +81,9 @@ def encode_chunk(text: str, after: int, first: bool, last: bool, lead: int, path
     cut = -1
     if not last:
         ahead = {after + b for b in boundaries(text[after:], pattern)}
-        cut = next(b for b in own if b > after and b in ahead and _safe(text, b))
+        cut = next((b for b in own if b > after and b in ahead and _safe(text, b)), -1)
+        if cut < 0:
+            raise ValueError("a match of the pattern holds white space after another character")
     stop = len(text) if last else cut
     ids, lead_at, lead_ids, at = [], [], [], 0
     if not first:
@@ -108,10 +113,9 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     """Encode and decode each whole text: (doc_id, n_tokens, ids_sha256, decoded_sha256), and ids with ``with_ids``.
 
     Null text: as empty (no ids). Null and repeated doc_ids: each row is encoded; rows that are equal in both columns
-    give equal rows. Other columns are ignored. An empty table gives an empty result.
+    give equal rows. Other columns are ignored. An empty table gives an empty result. No match of the pattern may hold
+    white space after another character; else texts above a chunk raise ValueError.
     """
-    spark = docs.sparkSession
-    Scratch(spark, "bpe")  # batch size only
     rows = keyed(docs)
     out = "did long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     names = ["did", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -129,7 +133,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
         found = []
         for did, text in zip(batch["did"].to_pylist(), strings(batch["text"]), strict=True):
             row = hashlib.blake2b(text.encode(), digest_size=16).digest()
-            found += [(did, row, i, start, after - start, end == len(text), text[start:end]) for i, (start, after, end) in enumerate(chunks(text, chunk, overlap))]
+            found += [(did, row, i, start, after - start, last, text[start:end]) for i, (start, after, end, last) in enumerate(chunks(text, chunk, overlap))]
         return pa.table([pa.array(x) for x in zip(*found, strict=True)], ["did", "row", "part", "start", "after", "last", "text"]) if found else None
 
     def pieces(batch: pa.RecordBatch) -> pa.Table:
@@ -139,14 +143,13 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
         ]
         kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
         arrays = [pa.array(x, kind) for x, kind in zip(zip(*done, strict=True), kinds, strict=True)]
-        return pa.table([batch["did"], batch["row"], batch["part"], batch["start"], *arrays], ["did", "row", "part", "start", "ids", "lead_at", "lead_ids", "cut"])
+        return pa.table([batch["did"], batch["row"], batch["part"], batch["start"], batch["copies"], *arrays], ["did", "row", "part", "start", "copies", "ids", "lead_at", "lead_ids", "cut"])
 
     def stitch(batch: pa.RecordBatch) -> pa.RecordBatch:
         all_ids = []
         for parts in batch["parts"].to_pylist():
-            parts = sorted({p["part"]: p for p in parts}.values(), key=lambda p: p["part"])
             ids, taken = [], 0
-            for p in parts:
+            for p in sorted(parts, key=lambda p: p["part"]):
                 skip = 0
                 if p["part"]:
                     skip = p["lead_ids"][p["lead_at"].index(taken - p["start"])]
@@ -159,9 +162,12 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     is_long = F.char_length("text") > chunk + overlap
     short = map_batches(rows.where(~is_long).select("did", "text"), whole, out)
     parts = map_batches(rows.where(is_long).select("did", "text"), cut, "did long, row binary, part long, start long, after long, last boolean, text string")
-    encoded = map_batches(parts.repartition("did", "row", "part"), pieces, "did long, row binary, part long, start long, ids array<int>, lead_at array<int>, lead_ids array<int>, cut long")
-    # the parts of one document: as bounded as its row was
-    gathered = encoded.groupBy("did", "row").agg(F.collect_list(F.struct("part", "start", "ids", "lead_at", "lead_ids", "cut")).alias("parts"), F.sum(F.when(F.col("part") == 0, 1).otherwise(0)).cast("long").alias("copies"))
+    # rows that are equal, however many, are encoded once
+    one = parts.groupBy("did", "row", "part").agg(F.first(F.struct("start", "after", "last", "text")).alias("chunk"), F.count("*").alias("copies"))
+    one = one.select("did", "row", "part", "chunk.*", "copies")
+    encoded = map_batches(one, pieces, "did long, row binary, part long, start long, copies long, ids array<int>, lead_at array<int>, lead_ids array<int>, cut long")
+    # the parts of one document: as bounded as its text is
+    gathered = encoded.groupBy("did", "row").agg(F.collect_list(F.struct("part", "start", "ids", "lead_at", "lead_ids", "cut")).alias("parts"), F.max("copies").alias("copies"))
     long = map_batches(gathered, stitch, out)
     done = short.unionByName(long)
     return done.select(id_or_null().alias("doc_id"), *[c for c in done.columns if c != "did"])

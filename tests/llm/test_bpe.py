@@ -11,22 +11,22 @@ PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenize
 
 def stitched(text, size, overlap):
     ids, taken = [], 0
-    for i, (start, after, end) in enumerate(bpe.chunks(text, size, overlap)):
-        got, lead_at, lead_ids, cut = bpe.encode_chunk(text[start:end], after - start, i == 0, end == len(text), 3 * overlap, PATH, PATTERN)
+    for i, (start, after, end, last) in enumerate(bpe.chunks(text, size, overlap)):
+        got, lead_at, lead_ids, cut = bpe.encode_chunk(text[start:end], after - start, i == 0, last, 3 * overlap, PATH, PATTERN)
         ids += got[lead_ids[lead_at.index(taken - start)] if i else 0 :]
         taken = start + cut
     return ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab'st\n  \t1é!Ö　"), max_size=300), st.integers(8, 40), st.integers(2, 6))
+@settings(max_examples=1000, deadline=None)
+@given(st.text(st.sampled_from("ab'st\n  \t1é!Ö　\x1c\x1f\x85"), max_size=300), st.integers(8, 40), st.integers(2, 6))
 def test_chunks_give_the_whole_texts_ids(text, size, overlap):
     assert stitched(text, size, overlap) == bpe.encoding(PATH, PATTERN).encode_ordinary(text)
 
 
 def test_long_runs_are_cut_in_linear_total():
     text = "x" * 5000 + " " + "y" * 5000 + "  z"
-    assert sum(end - start for start, _, end in bpe.chunks(text, 100, 10)) < 3 * len(text)
+    assert sum(end - start for start, _, end, _ in bpe.chunks(text, 100, 10)) < 3 * len(text)
     assert stitched(text, 100, 10) == bpe.encoding(PATH, PATTERN).encode_ordinary(text)
 
 
@@ -43,3 +43,11 @@ def test_rows(spark):
     back = bpe.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in got], "doc_id long, ids array<int>"), PATH, PATTERN)
     assert {bytes(r.data).decode() for r in back.collect()} == {r[1] or "" for r in rows}
     assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_production_chunks(spark):
+    n = bpe.CHUNK + bpe.OVERLAP
+    texts = ["word " * (n // 5) + " " * 2, "x" * (n + 400) + " ", ("Some prose, 12 words.\n" * n)[: 3 * n] + "\n", "a\x1c\x1f b\x85" * n, "y" * n, "y" * (n + 1), "no break" * n]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2])] * 3
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH, PATTERN, with_ids=True).collect()
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted((i, bpe.encoding(PATH, PATTERN).encode_ordinary(t)) for i, t in rows)
