@@ -49,7 +49,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=100)
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=100, keep_archives=False)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
