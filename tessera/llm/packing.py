@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import bisect
 import functools
-import itertools
+import json
 import os
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,10 @@ from pyspark.sql.window import Window
 from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, strings
 
 CAPACITY = 2048
-#: Chunks that a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
-#: How the vocabulary writes a space.
-SPACE = "\u0120"
-#: Chunks that one call of the tokenizer encodes, and characters of texts whose chunks are learnt together.
-AT_ONCE, GROUP = 8192, 4_000_000
-#: Buckets that ranks of one length are counted in.
-BUCKETS = 1024
+#: How a byte-level pre-tokenizer splits texts. A fixed value of that format.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces of one length whose ranks are counted in one bucket, about.
+BUCKET = 512
 
 
 @functools.lru_cache(maxsize=1)
@@ -48,80 +44,76 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Remembered(dict):
-    """Ids of " " + chunk, as bytes of little-endian unsigned 32-bit ids."""
-
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token begins with a space
-        self.opens[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode those that aren't known, many at a call; each begins with the only space it has."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(chunks.difference(self))
-        for at in range(0, len(new), AT_ONCE):
-            part = new[at : at + AT_ONCE]
-            (found,) = self.tokenizer.encode_batch_fast([f" {' '.join(part)}"], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
-            data = ids.tobytes()
-            self.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+def _bytes_of_letters() -> dict[str, int]:
+    """How a byte-level vocabulary spells bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
 @functools.lru_cache(maxsize=1)
-def _remembered(path: str) -> _Remembered:
-    return _Remembered(path)
-
-
-def _splittable(text: str) -> bool:
-    """Whether each single space follows and precedes a character that isn't white space: there every scan breaks."""
-    return "  " not in text and not any(x in text for x in _NEAR_SPACE) and text[:1] != " " and not text[-1:].isspace() and "<|" not in text and (text.isascii() or not any(x in text for x in _OTHER_SPACE))
-
-
-_OTHER_SPACE = [chr(i) for i in range(0x80, 0x3001) if chr(i).isspace()]
-_NEAR_SPACE = [f"{chr(i)} " for i in range(0x80) if chr(i).isspace() and chr(i) != " "] + [f" {chr(i)}" for i in range(0x80) if chr(i).isspace() and chr(i) != " "]
+def ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if merging by them is known to give the tokenizer's own ids; else None.
 
-
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about GROUP characters, or one longer text."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > GROUP:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
-def all_token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers."""
-    known = _remembered(path)
-    encode = lambda text: np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-    for group in _groups(texts):
-        parts = [text.split(" ") if _splittable(text) else [text] for text in group]
-        known.learn(set(itertools.chain.from_iterable(itertools.islice(x, 1, None) for x in parts)))
-        for head, *rest in parts:
-            yield encode(head) + b"".join(map(known.__getitem__, rest))
-
-
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of one text."""
-    return next(all_token_bytes([text], path))
+    It is, if nothing but byte-level splitting comes before the merges, these are listed by the ids that they make, and
+    each token's own letters, merged by lower ids alone, end as the two parts that its merge joins. For when a token can
+    be made in a text, its borders have been there all the time, so its letters were merged as if they stood alone.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return None
+    special, letters = {t["content"] for t in spec["added_tokens"]}, _bytes_of_letters()
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    made = [vocabulary.get(a + b, -1) for a, b in merges]
+    if not all(x < y for x, y in zip([-1, *made], made)) or len(vocabulary) != len(made) + 256 or not all(x in vocabulary for x in letters):
+        return None
+    for (a, b), rank in zip(merges, made, strict=True):
+        parts = list(a + b)
+        while True:
+            lowest, at = min((vocabulary.get(x + y, rank), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if lowest >= rank:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [a, b]:
+            return None
+    return {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, by_ranks: bool) -> Callable[[str], list[int]]:
+    """Ids of a text. by_ranks: ``ranks`` has found that they may be taken from the vocabulary's ranks, which is faster;
+    texts that spell a special token go to the tokenizer all the same."""
+    tokenizer = _tokenizer(path)
+    slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if not by_ranks:
+        return slow
+    import tiktoken
+
+    letters = _bytes_of_letters()
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    own = {bytes(letters[c] for c in t): i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
+    fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=own, special_tokens={}).encode_ordinary
+    return lambda text: slow(text) if any(x in text for x in special) else fast(text)
+
+
+def token_bytes(text: str, path: str, by_ranks: bool) -> bytes:
+    """The ids of one text as little-endian unsigned 32-bit integers."""
+    return np.array(_encoder(path, by_ranks)(text), "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(did, th, piece, start, length, ids_crc32): the pieces of each text's ids with ``end_id`` at the end."""
-    end = np.array([end_id], "<u4").tobytes()
+    end, by_ranks = np.array([end_id], "<u4").tobytes(), ranks(path) is not None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for did, th, ids in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), all_token_bytes(strings(batch["text"]), path), strict=True):
-            ids += end
+        for did, th, text in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), strings(batch["text"]), strict=True):
+            ids = token_bytes(text, path, by_ranks) + end
             n = len(ids) // 4
             at = 0
             for piece in range(-(-n // capacity)):
@@ -216,9 +208,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     items = scratch.write(pieces(docs, path, capacity, end_id), "pieces")
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("did", "th", "piece"), F.lit(BUCKETS)))
+    counts = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row per length
+    spread = spark.createDataFrame([(k, -(-n // BUCKET)) for k, n in counts.items()], "length long, buckets long")
+    items = items.join(F.broadcast(spread), "length")  # a row per length: ``capacity`` rows at most
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("did", "th", "piece"), "buckets"))
     by_bucket = items.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = {r.length: r.n for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row per length
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("did", "th", "piece")

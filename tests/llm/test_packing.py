@@ -1,6 +1,8 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,12 +16,31 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'sé🙂 \n\t\u00a0\u3000 1,<|"), max_size=40), max_size=6))
-def test_texts_together_have_the_ids_of_each(texts):
-    packing._remembered(PATH).clear()
-    for text, found in zip(texts, packing.all_token_bytes(texts, PATH), strict=True):
-        assert np.frombuffer(found, "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
+def encode(text, by_ranks=True):
+    return np.frombuffer(packing.token_bytes(text, PATH, by_ranks), "<u4").tolist()
+
+
+def test_ranks_are_found_only_where_they_give_the_ids(tmp_path):
+    assert packing.ranks(PATH) is not None
+    spec = json.loads(Path(PATH).read_text())
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(spec | change))
+        assert packing.ranks.__wrapped__(str(path)) is None
+
+
+def test_each_character_has_the_tokenizers_ids():
+    """Both libraries sort characters into letters, numbers and white space alike."""
+    some = [chr(i) for i in [*range(0x3100), *range(0x3100, 0x110000, 61)] if not 0xD800 <= i < 0xE000]
+    texts = [f"a{c}1{c} {c}!{c}\n{c}a {c} 1{c}{c}" for c in some]
+    for text, want in zip(texts, TOK.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == want.ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text(text):
+    assert encode(text) == encode(text, False) == TOK.encode(text, add_special_tokens=False).ids
 
 
 def sequences(counts, capacity):
@@ -66,7 +87,7 @@ def test_plan_is_close_to_the_bound():
 @given(st.text(st.sampled_from("ab'st\n  \t1é!Ö　 <|endoftext|>"), max_size=60))
 def test_ids(text):
     want = TOK.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.token_bytes(text, PATH), "<u4").tolist() == want
+    assert encode(text) == want
 
 
 def test_rows(spark):
@@ -95,3 +116,15 @@ def test_rows(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert len(by_seq) <= sum(r.length for r in got) / 64 * 1.1 + 1
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_ranks_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 5)
+    docs = spark.createDataFrame([(i, "word " * (i % 3), i) for i in range(100)], "doc_id long, text string, bucket int")
+    got = packing.pack(docs, PATH, capacity=16).collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 100
+    for items in places.values():
+        assert [x for x, _ in sorted(items)] == [sum(n for _, n in sorted(items)[:i]) for i in range(len(items))]
