@@ -84,7 +84,7 @@ def heavy_grams(rows: DataFrame, units: Units, scratch: Scratch, share: float =
     return np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64))
 
 
-def _behind(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+def behind(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """Grams as order keys: the heavy ones above all others."""
     keys = grams >> np.uint64(1)
     if len(heavy):
@@ -109,7 +109,7 @@ def runs(rows: DataFrame, units: Units, heavy: np.ndarray) -> DataFrame:
         n = len(grams) - units.size + 1
         if n <= 0:
             return None
-        keys = _behind(grams, held.value)
+        keys = behind(grams, held.value)
         least = sliding_min(keys, width)[:n]
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         whole = row[:n] == row[units.size - 1 :]
