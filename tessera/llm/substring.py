@@ -1,7 +1,9 @@
 """Substring dedup by super-k-mers: words that lie in a window of words which an earlier document holds are removed.
 
-Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket, where sorting groups
-equal windows exactly (no hash decides); see ``windows`` for what happens before and after.
+Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket (see ``windows``), where
+sorting groups equal windows. Equal packed strings are aggregated before they travel, and what a bucket finds of each is
+joined back to its occurrences. A bucket of more than ``BLOCK`` distinct strings isn't sorted in one piece: it passes its
+windows on, each by itself, and a grouping by their digests takes the bucket's place. So a worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -19,34 +21,57 @@ from tessera.llm import windows
 from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, partitions
 
 WINDOW, GRAM = 50, 5
-#: Distinct strings that a bucket sorts at once (a minimiser's strings stay together).
+#: Distinct strings that are sorted at once.
 BLOCK = 8192
+_FOUND = "m long, digest binary, begin long, end long, lo long, hi long, string binary"
+_NAMES = ["m", "digest", "begin", "end", "lo", "hi", "string"]
 
 
 def _earliest(size: int):
+    def sort(table: pa.Table):
+        n, lo, hi = (table[c].to_numpy() for c in ("n", "lo", "hi"))
+        words = pc.split_pattern(table["packed"].combine_chunks().cast(pa.string()), " ")
+        ids = words.flatten().dictionary_encode().indices.to_numpy()
+        first = words.offsets.to_numpy()
+        ends = np.repeat(first[1:], np.diff(first))
+        rank = windows.ranks(ids, ends, size)
+        string = np.repeat(np.arange(len(n)), np.diff(first))
+        here = rank >= 0
+        rank, string, at = rank[here], string[here], np.flatnonzero(here)
+        order = np.argsort(rank, kind="stable")
+        begins = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        least = np.minimum.reduceat(lo[string[order]], begins) if len(order) else lo[:0]
+        values = least[rank]
+        a, b = windows.stretches(values, string)
+        of = string[a]
+        some = values[a] < hi[of]
+        a, b, of = a[some], b[some], of[some]
+        if len(a):
+            begin = at[a] - first[of]
+            yield row_batch(table, of, begin, begin + b - a, values[a], pa.nulls(len(a), pa.binary()))
+
+    def each(table: pa.Table):
+        of, begin, keys = [], [], []
+        for i, packed in enumerate(table["packed"].to_pylist()):
+            words = packed.split(b" ")
+            for at in range(len(words) - size + 1):
+                of.append(i)
+                begin.append(at)
+                keys.append(hashlib.blake2b(b" ".join(words[at : at + size]), digest_size=16).digest())
+        of, begin = np.array(of), np.array(begin)
+        yield row_batch(table, of, begin, begin + 1, table["lo"].to_numpy()[of], pa.array(keys, pa.binary()))
+
+    def row_batch(table: pa.Table, of: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: np.ndarray, string: pa.Array) -> pa.RecordBatch:
+        digest = table["digest"].combine_chunks().take(pa.array(of))
+        return pa.record_batch([pa.array(table["m"].to_numpy()[of]), digest, pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(lo), pa.array(table["hi"].to_numpy()[of]), string], _NAMES)
+
     def run(batches):
-        for table in windows.blocks(batches, "m", BLOCK):
-            n, lo, hi = (table[c].to_numpy() for c in ("n", "lo", "hi"))
-            words = pc.split_pattern(table["packed"].combine_chunks().cast(pa.string()), " ")
-            ids = words.flatten().dictionary_encode().indices.to_numpy()
-            first = words.offsets.to_numpy()
-            ends = np.repeat(first[1:], np.diff(first))
-            rank = windows.ranks(ids, ends, size)
-            string = np.repeat(np.arange(len(n)), np.diff(first))
-            here = rank >= 0
-            rank, string, at = rank[here], string[here], np.flatnonzero(here)
-            order = np.argsort(rank, kind="stable")
-            begins = np.flatnonzero(np.diff(rank[order], prepend=-1))
-            least = np.minimum.reduceat(lo[string[order]], begins) if len(order) else lo[:0]
-            values = least[rank]
-            a, b = windows.stretches(values, string)
-            of = string[a]
-            some = values[a] < hi[of]
-            a, b, of = a[some], b[some], of[some]
-            if len(a):
-                digests = table["digest"].combine_chunks().take(pa.array(of))
-                begin = at[a] - first[of]
-                yield pa.record_batch([pa.array(table["m"].to_numpy()[of]), digests, pa.array(begin.astype(np.int64)), pa.array((begin + b - a).astype(np.int64)), pa.array(values[a])], ["m", "digest", "begin", "end", "lo"])
+        for table, whole in windows.bounded(batches, "m", BLOCK):
+            if whole:
+                yield from sort(table)
+            else:
+                for at in range(0, table.num_rows, 256):
+                    yield from each(table.slice(at, 256))
 
     return run
 
@@ -57,15 +82,19 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     scratch, units, rows = Scratch(spark, "substring"), windows.Units("words", window, gram), keyed(docs)
     heavy = windows.heavy_grams(rows, units, scratch, heavy_share)
     refs = scratch.write(windows.runs(rows, units, heavy), "runs")
-    shared = refs.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("m")
+    shared = scratch.write(refs.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("m"), "shared")
     parts = scratch.write(windows.cut(rows, refs.join(shared, "m"), units), "parts")
-    scratch.drop("runs")
+    scratch.drop("runs", "shared", "heavy")
     distinct = parts.groupBy("m", "digest").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.first("n").alias("n"), F.first("packed").alias("packed"))
     buckets = distinct.repartition(partitions(spark), "m").sortWithinPartitions("m")
-    found = buckets.mapInArrow(_earliest(window), "m long, digest binary, begin long, end long, lo long")
-    marks = parts.select("m", "digest", "did", "th", "start").join(found, ["m", "digest"]).where("lo < did")
+    found = scratch.write(buckets.mapInArrow(_earliest(window), _FOUND), "found")
+    alone = found.where("string is not null").select("m", "digest", "begin", "end", "hi", "string", "lo")
+    least = alone.groupBy("string").agg(F.min("lo").alias("lo"))
+    spans = found.where("string is null").select("m", "digest", "begin", "end", "lo")
+    spans = spans.unionByName(alone.drop("lo").join(least, "string").where("lo < hi").select(spans.columns))
+    marks = parts.select("m", "digest", "did", "th", "start").join(spans, ["m", "digest"]).where("lo < did")
     out = scratch.write(marks.select("did", "th", (F.col("start") + F.col("begin")).alias("a"), (F.col("start") + F.col("end") - 1 + window).alias("b")), "marks")
-    scratch.drop("parts")
+    scratch.drop("parts", "found")
     return out
 
 

@@ -232,9 +232,9 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, heavy_sh
         raise ValueError("size must be from 1 to 4095")
     heavy = windows.heavy_grams(rows, units, scratch, heavy_share)
     refs = scratch.write(places(rows, units, heavy), "places")
-    shared = refs.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    shared = scratch.write(refs.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m"), "shared")
     parts = scratch.write(_cut(rows, refs.join(shared, "m"), size), "parts")
-    scratch.drop("places", "heavy")
+    scratch.drop("places", "shared", "heavy")
     bounds = splitters(parts, partitions(spark))
     held = spark.sparkContext.broadcast(bounds)  # LEADING bytes a partition
 

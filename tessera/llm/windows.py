@@ -1,4 +1,4 @@
-"""Exact repeats of fixed-length windows: the plumbing that substring and suffix-array dedup share.
+"""Exact repeats of fixed-length windows: what substring and suffix-array dedup share.
 
 A text is a row of units (words or bytes). Every window of ``size`` consecutive units has a minimiser, the least hash of
 the short grams in it, which depends on the window's content alone. Consecutive windows with one minimiser are a run.
@@ -8,8 +8,6 @@ the short grams in it, which depends on the window's content alone. Consecutive
    passage is dealt out by its rarer side, and what lies in it is equal and collapses.
 2. ``runs``: (minimiser, document, start, windows). Runs whose minimiser occurs in no other run hold no repeat.
 3. ``cut``: the others' units are cut out of the texts, each run as one packed string.
-4. ``distinct``: equal packed strings are aggregated before they travel; what a bucket finds of each distinct string is
-   joined back to its occurrences (``spans``).
 """
 
 from __future__ import annotations
@@ -51,11 +49,8 @@ class Units:
         return grams_of_bytes(data, self.gram), offsets
 
     def packed(self, text: str, starts: list[int], counts: list[int]) -> list[bytes]:
-        """The units of each run of windows."""
-        data = text.encode()
-        if self.kind == "bytes":
-            return [data[s : s + n - 1 + self.size] for s, n in zip(starts, counts, strict=True)]
-        words = data.split()
+        """The words of each run of windows."""
+        words = text.encode().split()
         return [b" ".join(words[s : s + n - 1 + self.size]) for s, n in zip(starts, counts, strict=True)]
 
 
@@ -98,8 +93,7 @@ def behind(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def runs(rows: DataFrame, units: Units, heavy: np.ndarray) -> DataFrame:
-    """(m, did, th, at) of each run: n windows from unit ``start`` on have minimiser m. again: the leftmost place of the
-    minimiser changes within the run, so windows of this run may equal each other. at: all three in one number, since
+    """(m, did, th, at) of each run: n windows from unit ``start`` on have minimiser m. at: both in one number, since
     these rows are many."""
     held = rows.sparkSession.sparkContext.broadcast(heavy)  # bounded: see heavy_grams
     width = units.size - units.gram + 1
@@ -118,49 +112,43 @@ def runs(rows: DataFrame, units: Units, heavy: np.ndarray) -> DataFrame:
         begins = np.flatnonzero(breaks & whole)
         ends = np.flatnonzero(np.append(breaks[1:] | ~whole[1:], True) & whole) + 1
         at, count = begins, ends - begins
-        place = np.append(np.flatnonzero(keys[:n] == least), n)  # windows that begin with their minimiser
-        again = place[np.searchsorted(place, at)] < ends - 1
         if (count > LONGEST_RUN).any():
             parts = -(-count // LONGEST_RUN)
             which = np.repeat(np.arange(len(at)), parts)
             nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
             start = at[which] + nth * LONGEST_RUN
-            at, count, again = start, np.minimum(count[which] - nth * LONGEST_RUN, LONGEST_RUN), again[which]
+            at, count = start, np.minimum(count[which] - nth * LONGEST_RUN, LONGEST_RUN)
         doc = row[at]
         take = pa.array(doc)
         return pa.record_batch(
-            [pa.array(least[at].view(np.int64)), batch["did"].take(take), batch["th"].take(take), pa.array((at - first[doc]) << 14 | count << 1 | again)],
+            [pa.array(least[at].view(np.int64)), batch["did"].take(take), batch["th"].take(take), pa.array((at - first[doc]) << 13 | count)],
             ["m", "did", "th", "at"],
         )
 
     return map_batches(rows.select("did", "th", "text"), run, "m long, did long, th long, at long")
 
 
-#: Whether windows of a run may equal each other, as SQL.
-AGAIN = "at & 1 = 1"
-
-
 def cut(texts: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """(m, did, th, start, n, again, packed, digest) of each wanted run, for each row of texts (did, th, text).
+    """(m, did, th, start, n, packed, digest) of each wanted run, for each row of texts (did, th, text).
 
     wanted: (m, did, th, at).
     """
     by_text = wanted.groupBy("did", "th").agg(F.collect_set(F.struct("m", "at")).alias("runs"))  # as bounded as the text
-    kinds = {"m": pa.int64(), "did": pa.int64(), "th": pa.int64(), "start": pa.int64(), "n": pa.int64(), "again": pa.bool_(), "packed": pa.binary(), "digest": pa.binary()}
+    kinds = {"m": pa.int64(), "did": pa.int64(), "th": pa.int64(), "start": pa.int64(), "n": pa.int64(), "packed": pa.binary(), "digest": pa.binary()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [[] for _ in kinds]
         for d, t, text, own in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), batch["text"].to_pylist(), batch["runs"], strict=True):
             m, at = own.values.field(0).to_pylist(), own.values.field(1).to_pylist()
-            start, n, again = [x >> 14 for x in at], [x >> 1 & 8191 for x in at], [bool(x & 1) for x in at]
+            start, n = [x >> 13 for x in at], [x & 8191 for x in at]
             packed = units.packed(text, start, n)
             digest = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
-            for column, values in zip(out, (m, [d] * len(m), [t] * len(m), start, n, again, packed, digest), strict=True):
+            for column, values in zip(out, (m, [d] * len(m), [t] * len(m), start, n, packed, digest), strict=True):
                 column += values
         return pa.record_batch([pa.array(x, kind) for x, kind in zip(out, kinds.values(), strict=True)], list(kinds))
 
     joined = texts.join(by_text, ["did", "th"]).select("did", "th", "text", "runs")
-    return map_batches(joined, run, "m long, did long, th long, start long, n long, again boolean, packed binary, digest binary")
+    return map_batches(joined, run, "m long, did long, th long, start long, n long, packed binary, digest binary")
 
 
 def blocks(batches, key: str, most: int):
@@ -186,6 +174,40 @@ def blocks(batches, key: str, most: int):
         yield pa.Table.from_batches(held)
 
 
+def bounded(batches, key: str, most: int):
+    """(table, whole) from batches that are sorted by an integer key: tables of whole groups, of about ``most`` rows; a
+    group of more rows than that comes by itself in parts, with ``whole`` False."""
+    held: list[pa.RecordBatch] = []
+    n = tail = 0  # tail: rows at the end that have the last key
+    over = None  # the key of a group that comes in parts
+    for batch in batches:
+        values = batch[key].to_numpy()
+        if over is not None:
+            other = np.flatnonzero(values != over)
+            same = int(other[0]) if len(other) else len(values)
+            if same:
+                yield pa.Table.from_batches([batch.slice(0, same)]), False
+            batch, values = batch.slice(same), values[same:]
+        if not len(values):
+            continue
+        over = None
+        breaks = np.flatnonzero(values[1:] != values[:-1])
+        joins = held and held[-1][key][held[-1].num_rows - 1].as_py() == values[0]
+        tail = len(values) - int(breaks[-1]) - 1 if len(breaks) else len(values) + (tail if joins else 0)
+        held.append(batch)
+        n += len(values)
+        if n - tail >= most or tail > most:
+            table = pa.Table.from_batches(held)
+            if n > tail:
+                yield table.slice(0, n - tail), True
+            held, n = table.slice(n - tail).combine_chunks().to_batches(), tail
+            if tail > most:
+                yield pa.Table.from_batches(held), False
+                held, n, tail, over = [], 0, 0, values[-1]
+    if n:
+        yield pa.Table.from_batches(held), True
+
+
 def ranks(first: np.ndarray, ends: np.ndarray, size: int, length: int = 1) -> np.ndarray:
     """Equal numbers for equal windows of ``size`` entries, in the windows' order; -1 where a window doesn't fit.
 

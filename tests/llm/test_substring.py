@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import substring, windows
@@ -46,9 +47,10 @@ def corpus(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("share", [1.0, 1e-9])
-def test_against_brute_force(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "block"), [(1.0, 8192), (1e-9, 8192), (1.0, 2)])
+def test_against_brute_force(spark, monkeypatch, share, block):
     monkeypatch.setattr(windows, "HEAVY_LEAST", 4)
+    monkeypatch.setattr(substring, "BLOCK", block)
     rows = corpus(random.Random(5), 120) + [(200, None), (None, "w1 w2 " * 30), (7, "w1 w2 " * 30), (201, "w1 w2 " * 30), (201, "w1 w2 " * 30)]
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n int, m string")
     got = substring.dedup(docs, window=12, heavy_share=share)
@@ -73,3 +75,21 @@ def test_ranks_group_equal_windows():
         content = {i: tuple(x[i : i + size]) for i in range(300) if r[i] >= 0}
         order = {c: k for k, c in enumerate(sorted(set(content.values())))}
         assert all(r[i] == order[c] for i, c in content.items())
+
+
+def test_groups_come_whole_or_in_parts():
+    rng = np.random.default_rng(1)
+    for most in (1, 3, 10):
+        for _ in range(50):
+            keys = np.sort(rng.integers(0, 6, rng.integers(0, 60)))
+            cuts = np.sort(rng.integers(0, len(keys) + 1, 5)).tolist()
+            batches = [pa.record_batch([pa.array(keys[a:b])], ["m"]) for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True)]
+            got, counts = [], np.bincount(keys, minlength=6)
+            for table, whole in windows.bounded(batches, "m", most):
+                own = table["m"].to_numpy()
+                got += own.tolist()
+                if whole:
+                    assert all((own == k).sum() == counts[k] for k in set(own.tolist()))
+                else:
+                    assert len(set(own.tolist())) == 1 and counts[own[0]] > most
+            assert got == keys.tolist()
