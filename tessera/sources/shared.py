@@ -47,17 +47,22 @@ class Scratch:
     SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
+        self.tables.add(table)
         with settings(self.spark, self.SETTINGS):
             df.select("*").write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
-        """Delete tables, or with no name all of them."""
         jvm = self.spark.sparkContext._jvm
-        for table in [f"/{t}" for t in tables] or [""]:
-            path = jvm.org.apache.hadoop.fs.Path(self.root + table)
+        for table in tables:
+            self.tables.discard(table)
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *tables: str) -> None:
+        """Drop all but these."""
+        self.drop(*(self.tables - set(tables)))
