@@ -75,15 +75,18 @@ ORACLE_SQL: dict[str, str] = {
                           case role when 'user' then conv_id || '-' || turn when 'assistant' then conv_id || '-' || (turn - 1) end as call_id, text
                    from conversations),
         a as (select conv_id, call_id, count(*) as k, min(turn) as at_turn, arg_min(text, turn) as content from c where kind = 'result' group by 1, 2),
+        u as (select distinct conv_id, turn from conversations where role = 'user'),
+        i as (select conv_id, turn, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as island from u),
+        l as (select conv_id, turn, cast(row_number() over (partition by conv_id, island order by turn) - 1 as int) as level from i),
         j as (select c.conv_id as conv_id, c.turn as turn, kind, c.call_id as call_id, k,
                      case when kind = 'call' then '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || c.call_id || '","name":"reply","result":'
                           || case when k is null then 'null' else '{"content":' || to_json(content) || ',"turn":' || at_turn || '}' end || '}' end as canonical,
                      exists (select 1 from c x where x.kind = 'call' and x.conv_id = c.conv_id and x.call_id = c.call_id) as called, length(text) as n
               from c left join a on kind = 'call' and a.conv_id = c.conv_id and a.call_id = c.call_id)
-        select conv_id, turn, kind, call_id, case kind when 'call' then k is not null when 'result' then called else false end as linked,
-               case when kind = 'call' then coalesce(k, 0) end as n_results, 0 as level, case when kind = 'call' then n > 0 end as valid,
+        select j.conv_id as conv_id, j.turn as turn, kind, call_id, case kind when 'call' then k is not null when 'result' then called else false end as linked,
+               case when kind = 'call' then coalesce(k, 0) end as n_results, case when kind = 'call' then level else 0 end as level, case when kind = 'call' then n > 0 end as valid,
                case when kind = 'call' then cast(n = 0 as int) end as n_problems, length(canonical) as n_chars, sha256(canonical) as canonical_sha256
-        from j
+        from j left join l on j.conv_id = l.conv_id and j.turn = l.turn
     """,
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),

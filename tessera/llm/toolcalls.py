@@ -2,12 +2,13 @@
 
 Messages are rows (conv_id, turn, kind, call_id, name, arguments, depends_on, content): kind ``call`` (arguments: JSON
 text; depends_on: identifiers of calls whose results it needs), ``result`` (content) or anything else, which is passed on.
-No conversation is gathered: links are hash joins by (conversation, identifier), and the order is a pair of columns.
+No conversation is gathered: links are hash joins by (conversation, identifier), and the order is a column of levels.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pyarrow as pa
@@ -16,44 +17,94 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, map_batches
 
-_TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+_TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
+#: What schemas may say. "$schema", "title", "description" and "default" say nothing about validity.
+KEYWORDS = {"type", "enum", "minLength", "maxLength", "minimum", "maximum", "required", "properties", "additionalProperties", "items", "$schema", "title", "description", "default"}
+#: Arguments nested deeper are a problem of their own.
+DEEPEST = 200
+
+
+def check_schema(schema: dict) -> None:
+    """Raise ValueError for what ``problems`` could not judge: other keywords or types, and schemas that aren't objects."""
+    if not isinstance(schema, dict) or schema.keys() - KEYWORDS:
+        raise ValueError(f"schema with unknown keywords: {sorted(schema.keys() - KEYWORDS) if isinstance(schema, dict) else schema}")
+    kinds = schema.get("type", [])
+    if unknown := {kinds} - _TYPES.keys() if isinstance(kinds, str) else set(kinds) - _TYPES.keys():
+        raise ValueError(f"schema with unknown types: {sorted(unknown)}")
+    for inner in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else []), *([x] if isinstance(x := schema.get("additionalProperties"), dict) else [])]:
+        check_schema(inner)
 
 
 def _is(value: Any, kind: str) -> bool:
-    if kind in ("integer", "number"):
-        return not isinstance(value, bool) and isinstance(value, int if kind == "integer" else (int, float))
-    return isinstance(value, _TYPES[kind])
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equal as JSON: true is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def depth(value: Any) -> int:
+    """How deep lists and objects are nested, without recursion."""
+    deepest, level = 0, [value]
+    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]:
+        deepest += 1
+    return deepest
 
 
 def problems(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a schema (type, enum, minLength, minimum, required, properties, additionalProperties, items)."""
+    """Where a value breaks a schema (see ``KEYWORDS``)."""
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: not {kinds}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        out.append(f"{at}: too short")
-    if _is(value, "number") and value < schema.get("minimum", value):
-        out.append(f"{at}: too small")
+    if isinstance(value, str):
+        if len(value) < schema.get("minLength", 0):
+            out.append(f"{at}: too short")
+        if len(value) > schema.get("maxLength", len(value)):
+            out.append(f"{at}: too long")
+    if _is(value, "number"):
+        if value < schema.get("minimum", value):
+            out.append(f"{at}: too small")
+        if value > schema.get("maximum", value):
+            out.append(f"{at}: too large")
     if isinstance(value, dict):
-        own = schema.get("properties", {})
+        own, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k, v in value.items():
             if k in own:
                 out += problems(v, own[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            elif others is False:
                 out.append(f"{at}.{k}: unknown")
+            elif isinstance(others, dict):
+                out += problems(v, others, f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         for i, v in enumerate(value):
             out += problems(v, schema["items"], f"{at}[{i}]")
     return out
 
 
+def _escaped(text: str) -> str:
+    """A lone surrogate, which UTF-8 has no form for, as its escape."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: Any) -> str:
     """JSON with sorted keys and without white space; characters are not escaped without need."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def _no_constant(name: str):
@@ -61,39 +112,60 @@ def _no_constant(name: str):
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level), calls (conv_id, call_id, turn, depends_on) one a key: by (level, turn), each comes after
-    those that it depends on.
+    """(conv_id, call_id, level), calls (conv_id, call_id, turn, depends_on) one a key: the topological order. A call's
+    level is one more than the highest of the calls that it depends on; 0 without any.
 
-    A call's level is the highest of its dependencies', one more for those that aren't on an earlier turn; 0 without any.
     Unknown dependencies do not count. The level is null on a cycle, and where a cycle is depended on.
 
-    Where every dependency of a conversation is on an earlier turn, all its levels are 0 by this rule, without a join.
-    The others take as many rounds as their longest chain has calls.
+    Calls that depend on one other call jump along their chains, twice as far each round, to the first call that depends
+    on none or on several: a chain of n calls takes log2(n) rounds of joins. Those that depend on several take a round
+    each time such a call depends on another one.
     """
-    scratch = Scratch(calls.sparkSession, "levels")
-    needs = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("need"))
-    there = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    step = F.when(F.col("need_turn") < F.col("turn"), 0).otherwise(1)
-    needs = scratch.write(needs.join(there, ["conv_id", "need"]).distinct().select("conv_id", "call_id", "need", step.alias("step")), "needs")
-    tangled = needs.where("step = 1").select("conv_id").distinct()
-    plain = calls.join(tangled, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    if not tangled.limit(1).count():
-        return plain
-    rest = scratch.write(calls.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id"), "rest")
-    edges = scratch.write(needs.join(tangled, "conv_id", "left_semi"), "edges")
-    free = scratch.write(rest.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "done-0")
-    done, count, turn = free, free.count(), 0
-    while True:
+    scratch, key = Scratch(calls.sparkSession, "levels"), ["conv_id", "call_id"]
+    needs = calls.select(*key, F.explode("depends_on").alias("need"))
+    there = calls.select("conv_id", F.col("call_id").alias("need"))
+    edges = needs.join(there, ["conv_id", "need"]).distinct()
+    edges = scratch.write(edges.groupBy(*key).agg(F.count("*").alias("k"), F.min("need").alias("need"), F.collect_set("need").alias("needs")), "edges")
+    nodes = scratch.write(calls.select(*key).join(edges, key, "left").select(*key, F.coalesce("k", F.lit(0)).alias("k"), "need", "needs"), "nodes")
+
+    # chains: where each call that depends on one other gets to, and after how many steps
+    chains, single = nodes.where("k = 1").select(*key, F.col("need").alias("to"), F.lit(1).alias("steps")), nodes.where("k = 1").count()
+    chains, reach, turn = scratch.write(chains, "chains-0"), 1, 0
+    while reach < single:
+        turn, reach = turn + 1, 2 * reach
+        further = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more"))
+        jumped = chains.join(further, ["conv_id", "to"], "left")
+        jumped = jumped.select(*key, F.coalesce("beyond", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("beyond").isNotNull().alias("moved"))
+        jumped = scratch.write(jumped, f"chains-{turn}")
+        scratch.drop(f"chains-{turn - 1}")
+        moved, chains = jumped.where("moved").limit(1).count(), jumped.drop("moved")
+        if not moved:
+            break
+
+    # what is left: calls that depend on none, and on several
+    tips = nodes.where("k <> 1").select("conv_id", F.col("call_id").alias("need"), F.col("call_id").alias("to"), F.lit(0).alias("steps"))
+    tips = tips.unionByName(chains.select("conv_id", F.col("call_id").alias("need"), "to", "steps"))
+    several = nodes.where("k > 1")
+    joins = scratch.write(several.select(*key, F.explode("needs").alias("need")).join(tips, ["conv_id", "need"]).select(*key, "to", "steps"), "joins")
+    free = scratch.write(nodes.where("k = 0").select(*key, F.lit(0).alias("level")), "done-0")
+    done, count, turn, left = free, 0, 0, several.count()
+    while count < left:
         turn += 1
-        known = done.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("above"))
-        ready = edges.join(known, ["conv_id", "need"], "left").groupBy("conv_id", "call_id")
-        ready = ready.agg(F.max(F.col("above") + F.col("step")).alias("level"), F.max(F.col("above").isNull()).alias("waits")).where("not waits")
-        done, before = scratch.write(free.unionByName(ready.drop("waits")), f"done-{turn}"), count
-        count = done.count()
-        if count == before:  # what is left waits for itself
-            return plain.unionByName(rest.join(done, ["conv_id", "call_id"], "left"))
+        known = done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("above"))
+        ready = joins.join(known, ["conv_id", "to"], "left").groupBy(*key)
+        ready = ready.agg(F.max(F.col("above") + F.col("steps") + 1).alias("level"), F.max(F.col("above").isNull()).alias("waits")).where("not waits").drop("waits")
+        more, before = scratch.write(ready, f"done-{turn}"), count
         if turn > 1:
             scratch.drop(f"done-{turn - 1}")
+        done, count = free.unionByName(more), more.count()
+        if count == before:  # what is left waits for itself
+            break
+    ends = done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base"))
+    along = chains.join(ends, ["conv_id", "to"], "left").select(*key, (F.col("base") + F.col("steps")).alias("level"))
+    waiting = several.select(key).join(done, key, "left_anti").withColumn("level", F.lit(None).cast("int"))
+    out = scratch.write(done.unionByName(along).unionByName(waiting), "levels")
+    scratch.keep("levels")
+    return out
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -102,12 +174,15 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     linked: a call with a result, or a result with a call, in the same conversation. n_results: the results of a call.
     Order messages by (conv_id, level, turn): calls come after those that they depend on; see ``levels``.
     valid: arguments are JSON that meets the schema of the call's name; problems say why not. canonical: the call with
-    the content and turn of its first result, or null, as canonical JSON; null for other messages.
+    the content and turn of its first result, or null, as canonical JSON; null for other messages. Arguments that aren't
+    JSON, or are nested deeper than ``DEEPEST``, stand in it as text. Schemas with unknown keywords raise ValueError.
 
     Of calls with one identifier the first by turn (then by arguments) is meant by results and dependencies; the others
     are reported too, unlinked, with the problem "repeated identifier". Null identifiers link with nothing; null
     arguments are not JSON; a name without a schema is a problem. Extra columns are dropped; no rows give no rows.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     kinds = {"conv_id": "long", "turn": "long", "kind": "string", "call_id": "string", "name": "string", "arguments": "string", "depends_on": "array<string>", "content": "string"}
     rows = messages.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
     key = ["conv_id", "call_id"]
@@ -124,11 +199,16 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for call_id, name, arguments, answer in zip(*(batch[c].to_pylist() for c in ("call_id", "name", "arguments", "answer")), strict=True):
             try:
                 value = json.loads(arguments if arguments is not None else "", parse_constant=_no_constant)
-                bad = problems(value, schemas[name]) if name in schemas else ["no schema"]
+                if depth(value) > DEEPEST:
+                    value, bad = arguments, ["nested too deeply"]
+                else:
+                    bad = problems(value, schemas[name]) if name in schemas else ["no schema"]
             except ValueError:
                 value, bad = arguments, ["not JSON"]
+            except RecursionError:
+                value, bad = arguments, ["nested too deeply"]
             valid.append(not bad)
-            wrong.append(bad)
+            wrong.append([_escaped(x) for x in bad])
             text.append(canonical({"arguments": value, "id": call_id, "name": name, "result": answer}))
         return pa.record_batch([*(batch[c] for c in keep), pa.array(valid), pa.array(wrong, pa.list_(pa.string())), pa.array(text)], [*keep, "valid", "problems", "canonical"])
 

@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from tessera.llm import toolcalls
 
@@ -50,17 +53,44 @@ def test_turns(spark):
     assert got[1, 2].linked and not got[1, 3].linked and not got[1, 3].valid and not got[2, 0].valid and len(got) == 6
 
 
-def test_levels_of_long_chains(spark):
-    n = 42
-    rows = [(1, f"c{i}", i, [f"c{i + 1}"] if i < n - 1 else []) for i in range(n)]  # all on the next turn
-    rows += [(2, f"c{i}", i, [f"c{i - 1}"] if i else ["x"]) for i in range(n)] + [(2, "x", n, [])]  # one on a later turn
-    rows += [(3, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(n)] + [(3, "y", n, ["z"]), (3, "z", n + 1, [])]  # beside an unrelated one
-    rows += [(4, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(n)]
-    rows += [(5, "a", 0, ["b"]), (5, "b", 1, ["a"]), (5, "c", 2, ["b"]), (5, "d", 3, []), (5, "e", 4, ["e"])]
+def test_levels(spark):
+    n = 100
+    rows = [(1, f"c{i}", i, [f"c{i + 1}"] if i < n - 1 else []) for i in range(n)]  # each on the next turn
+    rows += [(2, f"c{i}", i, [f"c{i - 1}"] if i else ["x"]) for i in range(n)] + [(2, "x", n, ["unknown"])]
+    rows += [(4, f"c{i}", i, [f"c{i - 1}", f"c{i - 2}", f"c{i - 1}"] if i > 1 else []) for i in range(6)]
+    rows += [(5, "a", 0, ["b"]), (5, "b", 1, ["a"]), (5, "c", 2, ["b"]), (5, "d", 3, []), (5, "e", 4, ["e"]), (5, "f", 5, ["d", "c"]), (5, "g", 6, ["f"]), (5, "h", 7, ["d", "i"]), (5, "i", 8, ["d"])]
+    rows += [(6, "p", 0, ["q", "r"]), (6, "q", 1, ["p", "r"]), (6, "r", 2, [])]
     got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends_on array<string>")).collect()}
     assert len(got) == len(rows)
     assert [got[1, f"c{i}"] for i in range(n)] == list(range(n - 1, -1, -1))
-    assert [got[2, f"c{i}"] for i in range(n)] == [1] * n and got[2, "x"] == 0
-    assert [got[3, f"c{i}"] for i in range(n)] == [got[4, f"c{i}"] for i in range(n)] == [0] * n
-    assert (got[3, "y"], got[3, "z"]) == (1, 0)
-    assert [got[5, k] for k in "abcde"] == [None, None, None, 0, None]
+    assert [got[2, f"c{i}"] for i in range(n)] == list(range(1, n + 1)) and got[2, "x"] == 0
+    assert [got[4, f"c{i}"] for i in range(6)] == [0, 0, 1, 2, 3, 4]
+    assert [got[5, k] for k in "abcdefghi"] == [None, None, None, 0, None, None, None, 2, 1]
+    assert [got[6, k] for k in "pqr"] == [None, None, 0]
+
+
+def test_levels_against_rounds(spark):
+    rng = random.Random(4)
+    rows = [(c, f"c{i}", i, [f"c{rng.randrange(30)}" for _ in range(rng.choice((0, 1, 1, 1, 2)))] if rng.random() < 0.1 else [f"c{rng.randrange(i)}" for _ in range(rng.choice((0, 1, 1, 1, 2))) if i]) for c in range(20) for i in range(30)]
+    want = {}
+    for c in range(20):
+        needs = {k: set(d) for conv, k, _, d in rows if conv == c}
+        level = {}
+        while more := {k: 1 + max(level[x] for x in d) if d else 0 for k, d in needs.items() if k not in level and d <= level.keys()}:
+            level |= more
+        want |= {(c, k): level.get(k) for k in needs}
+    got = toolcalls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, depends_on array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want
+
+
+def test_odd_arguments(spark):
+    deep = "[" * 5000 + "]" * 5000
+    rows = [(1, 0, "call", "a", "add", '{"x": 1, "t": "\\ud800"}', None, None, ""), (1, 1, "call", "b", "add", deep, None, None, ""), (1, 2, "call", "c", "add", "[" * 300 + "]" * 300, None, None, ""), (1, 3, "call", "d", "add", '{"x": 2.0}', None, None, "")]
+    got = {r.call_id: r for r in toolcalls.link(spark.createDataFrame(rows, MESSAGE), {"add": {"type": "object", "properties": {"x": {"type": "integer"}}}}).collect()}
+    assert got["a"].valid and json.loads(got["a"].canonical)["arguments"]["t"] == "\ud800" and got["d"].valid
+    assert got["b"].problems == got["c"].problems == ["nested too deeply"]
+    for schema in ({"pattern": "x"}, {"properties": {"x": {"oneOf": []}}}, {"type": "text"}):
+        with pytest.raises(ValueError):
+            toolcalls.check_schema(schema)
+    assert toolcalls.problems(True, {"enum": [1]}) and not toolcalls.problems(1.0, {"enum": [1]})
+    assert toolcalls.problems(5, {"maximum": 4}) and toolcalls.problems("abc", {"maxLength": 2}) and toolcalls.problems({"z": 1}, {"additionalProperties": {"type": "string"}})
