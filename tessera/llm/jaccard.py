@@ -322,5 +322,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     counts = links.groupBy("digest").agg(F.sum("links").alias("links"))
     by_class = classes.select("digest", "rep", "members").join(counts, "digest", "left").join(groups, "rep", "left")
     by_class = by_class.select("digest", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = signed.select("did", "digest").join(by_class, "digest", "left").select("did", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "did").alias("component"))
+    by_class = scratch.write(by_class, "by_class")  # so that Spark can split a digest that many rows have in the join below
+    scratch.keep("signed", "by_class")
+    found = signed.where("digest is not null").select("did", "digest").join(by_class, "digest").select("did", "n_links", "component")
+    out = found.unionByName(signed.where("digest is null").select("did", F.lit(0).cast("long").alias("n_links"), F.col("did").alias("component")))
     return out.select(id_or_null().alias("doc_id"), "n_links", id_or_null("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +33,18 @@ BLOCK = 2048
 
 
 def unit(column: pa.Array) -> np.ndarray:
-    """Vectors of a batch in double precision, at length 1."""
-    x = np.array([np.frombuffer(v, np.float64) for v in column.to_pylist()])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Vectors of a batch in double precision, at length 1; zeros fill those that have fewer components than others."""
+    rows = [np.frombuffer(v, np.float64) for v in column.to_pylist()]
+    x = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, v in enumerate(rows):
+        x[i, : len(v)] = v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max()
+    return x
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first."""
-    near = x @ pivots.T
+    width = min(x.shape[1], pivots.shape[1])
+    near = x[:, :width] @ pivots[:, :width].T
     k = min(prefix, len(pivots))
     some = np.argpartition(-near, k - 1, axis=1)[:, :k]
     order = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
@@ -65,7 +70,7 @@ def _search(cosine: float, prefix: int, shared: int, n_pivots: int):
                     continue
                 part = table.slice(a, b - a)
                 block, rep, members = (part[c].to_numpy() for c in ("block", "rep", "members"))
-                x = unit(part["vector"])
+                x, wide = unit(part["vector"]), pc.binary_length(part["vector"]).to_numpy()
                 prefixes = np.array(part["prefix"].to_pylist(), np.int64)
                 hot = np.zeros((b - a, n_pivots), np.float32)
                 np.put_along_axis(hot, prefixes, 1, 1)
@@ -74,7 +79,7 @@ def _search(cosine: float, prefix: int, shared: int, n_pivots: int):
                 edges: list[tuple[np.ndarray, np.ndarray]] = []
                 for low in range(0, b - a, 256):
                     rows = slice(low, min(low + 256, b - a))
-                    pairs = x[rows] @ x.T >= cosine
+                    pairs = (x[rows] @ x.T >= cosine) & (wide[rows, None] == wide[None])
                     pairs &= hot[rows] @ hot.T >= min(shared, prefixes.shape[1])
                     pairs &= below[rows] @ below.T < 0.5
                     if pi[a] != pj[a]:
@@ -102,8 +107,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, prefix: int = PR
     """(vec_id, n_links, component_id, kept) of every row: links are pairs of rows found with cosine >= ``cosine``.
 
     n_links: the other rows that a row is linked with; component_id: the smallest vec_id reachable by links; kept:
-    vec_id = component_id. Vectors that are null, empty, zero, hold null or non-finite components, or whose length is
-    not the table's most frequent one (the smallest of several) link with nothing. A null vec_id is the smallest id;
+    vec_id = component_id. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
+    those of different numbers of components don't link with each other. A null vec_id is the smallest id;
     rows with equal vec_ids have one component. Other columns (labels) are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -119,9 +124,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, prefix: int = PR
     coded = scratch.write(map_batches(rows, code, "did long, vector binary").withColumn("digest", F.sha2("vector", 256)), "coded")
     classes = coded.where("vector is not null").groupBy("digest").agg(F.min("did").alias("rep"), F.count("*").alias("members"), F.first("vector").alias("vector"))
     classes = scratch.write(classes, "classes")
-    lengths = classes.groupBy(F.length("vector").alias("w")).agg(F.sum("members").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    if lengths:
-        classes = classes.where(F.length("vector") == lengths[0].w)
     n = classes.count()
     wanted = pivots or int(min(max(PIVOTS[0], 2 * n**0.5), PIVOTS[1]))
     # a bounded sample: the classes with the smallest digests
@@ -149,6 +151,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, prefix: int = PR
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     by_class = classes.select("digest", "rep", "members").join(counts, "rep", "left").join(groups, "rep", "left")
     by_class = by_class.select("digest", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = coded.select("did", F.when(F.col("vector").isNotNull(), F.col("digest")).alias("digest")).join(by_class, "digest", "left")
-    out = out.select("did", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "did").alias("component"))
+    by_class = scratch.write(by_class, "by_class")  # so that Spark can split a digest that many rows have in the join below
+    scratch.keep("coded", "by_class")
+    found = coded.where("vector is not null").select("did", "digest").join(by_class, "digest").select("did", "n_links", "component")
+    out = found.unionByName(coded.where("vector is null").select("did", F.lit(0).cast("long").alias("n_links"), F.col("did").alias("component")))
     return out.select(id_or_null().alias("vec_id"), "n_links", id_or_null("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))

@@ -94,7 +94,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heav
     spans = spans.unionByName(alone.drop("lo").join(least, "string").where("lo < hi").select(spans.columns))
     marks = parts.select("m", "digest", "did", "th", "start").join(spans, ["m", "digest"]).where("lo < did")
     out = scratch.write(marks.select("did", "th", (F.col("start") + F.col("begin")).alias("a"), (F.col("start") + F.col("end") - 1 + window).alias("b")), "marks")
-    scratch.drop("parts", "found")
+    scratch.keep("marks")
     return out
 
 

@@ -251,7 +251,7 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, heavy_sh
     spans = found.where("string is null").drop("string").unionByName(across.join(again, "string").drop("string"))
     marks = parts.select("digest", "did", "th", F.explode("starts").alias("start")).join(spans, "digest")
     out = scratch.write(marks.select("did", "th", (F.col("start") + F.col("begin")).alias("a"), (F.col("start") + F.col("end") - 1 + size).alias("b")), "marks")
-    scratch.drop("parts", "found")
+    scratch.keep("marks")
     return out
 
 

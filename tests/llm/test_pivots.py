@@ -40,3 +40,9 @@ def test_pivots_are_apart():
     x[:30] = x[0] + np.random.default_rng(1).normal(size=(30, 8)) * 0.01
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert len(pivots.spread(x, 20)) == 20 and (pivots.spread(x, 20) @ x[0] > 0.95).sum() == 1
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0, 2.0, float(i % 2)]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [1.0, 2.0, 0.0, 0.0]), (13, [1e-300, 2e-300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (2, i % 2) for i in range(6)} | {10: (2, 10), 11: (2, 10), 12: (0, 12), 13: (2, 10)}
