@@ -42,6 +42,8 @@ MISS, FILTERED = 8e-5, 2e-5
 FIRST = 3
 #: Sets of a node that are searched by brute force.
 LEAF = 1024
+#: Sets whose texts are looked up by a broadcast of their ids and hashes; more are looked up by a shuffle of the texts.
+SMALL = 100_000
 
 
 def shingles(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +66,15 @@ def shingles(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(row: np.ndarray, grams: np.ndarray, places: int = PLACES) -> np.ndarray:
-    """A row of min-hashes for each set that isn't empty, in order."""
+    """A row of min-hashes for each set that isn't empty, in order: a byte of each, so that unequal ones look equal once
+    in 256 times, which lets more pairs through to verification and none less."""
     rng = np.random.default_rng(10)
     begins = np.flatnonzero(np.diff(row, prepend=-1))
-    out = np.zeros((len(begins), places), np.uint32)
+    out = np.zeros((len(begins), places), np.uint8)
     for j, (a, b) in enumerate(rng.integers(0, 2**63, (places, 2), np.uint64)):
         hashed = ((grams * (a | np.uint64(1)) + b) >> np.uint64(32)).astype(np.uint32)
         if len(begins):
-            out[:, j] = np.minimum.reduceat(hashed, begins)
+            out[:, j] = np.minimum.reduceat(hashed, begins) & np.uint32(255)
     return out
 
 
@@ -114,7 +117,7 @@ def children(of: np.ndarray, grams: np.ndarray, begins: np.ndarray) -> np.ndarra
 
 
 def _signature_rows(column: pa.Array, places: int = PLACES) -> np.ndarray:
-    return np.array([np.frombuffer(x, np.uint32) for x in column.to_pylist()], np.uint32).reshape(-1, places)
+    return np.array([np.frombuffer(x, np.uint8) for x in column.to_pylist()], np.uint8).reshape(-1, places)
 
 
 def _nodes(similarity: float):
@@ -274,10 +277,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         return pa.record_batch([batch["digest"], pa.array([grams[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["digest", "set"])
 
     def sets_of(some: DataFrame) -> DataFrame:
+        nonlocal looked_up
+        looked_up += 1
         wanted = some.select("digest").distinct().join(classes.select("digest", F.col("rep").alias("did"), "th"), "digest")
-        texts = rows.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
+        wanted = scratch.write(wanted, f"wanted-{looked_up}")
+        few = wanted.count() <= SMALL  # 32 bytes a row
+        texts = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
         return map_batches(texts, sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
 
+    looked_up = 0
     leaves, split = [], None  # split: the n-grams of the sets that were in a node too large for a leaf
 
     def descend(level: DataFrame, run: int) -> int:
