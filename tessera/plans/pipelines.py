@@ -42,4 +42,4 @@ def segment(vol: DataFrame, shape: Triple, iso: float, block: int, step: int = 4
     mapping = superpixels.grow(about, edges, normalised_iso(iso), bins)
     ranks = superpixels.rank_segments(about, mapping)
     ranked = mapping.join(F.broadcast(ranks.select("segment", "rank")), "segment", "left").select("label", F.coalesce(F.col("rank") + 1, F.lit(0)).alias("segment"))
-    return superpixels.paint(labelled, ranked, 257)
+    return superpixels.paint(labelled, ranked, ranks.count() + 1)  # with the void
