@@ -61,10 +61,12 @@ def best_blend(hist: DataFrame, steps: int = 40) -> float:
     return (low + high) / 2
 
 
-def equalise(vol: DataFrame, lam: float) -> DataFrame:
-    """(z, y, x, v, i, g, y_g): each voxel's level before (i) and after (g), and its value with the hue preserved."""
+def equalise(vol: DataFrame, lam: float | None) -> DataFrame:
+    """(z, y, x, v, i, g, y_g): each voxel's level before (i) and after (g), and its value with the hue preserved.
+    lam: None for that of ``best_blend``."""
     bins = with_range(vol).withColumn("i", stretch_bin(F.col("v"), F.col("low"), F.col("high")))
     stretched = 255 * (F.col("v") - F.col("low")) / (F.col("high") - F.col("low") + F.lit(1e-8))
-    levels = level_map(histogram(bins.select(F.col("i").alias("bin"))), lam)
+    counted = histogram(bins.select(F.col("i").alias("bin")))
+    levels = level_map(counted, best_blend(counted) if lam is None else lam)
     out = bins.withColumn("s", stretched).join(F.broadcast(levels.select(F.col("bin").alias("i"), F.col("t").alias("g"))), "i")  # 256 rows
     return out.select("z", "y", "x", "v", "i", "g", preserve_hue(F.col("g"), F.col("i"), F.col("s")).alias("y_g"), F.col("s").alias("stretched"))

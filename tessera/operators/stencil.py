@@ -159,16 +159,16 @@ def tv_denoise(vol: DataFrame, shape: Triple, weight: float = 0.1) -> DataFrame:
     return vol.select("z", "y", "x", F.col("v").cast("double").alias("v")).groupBy("z").applyInArrow(run, "z int, y int, x int, v double")
 
 
-def local_global_contrast(vol: DataFrame, shape: Triple, lam: float) -> DataFrame:
-    """Blend of global equalisation and per-slice tiled equalisation, each with the hue preserved, weighted by detail
-    and exposure, scrubbed and rescaled to 0..1."""
+def local_global_contrast(vol: DataFrame, shape: Triple, lam: float | None = None) -> DataFrame:
+    """Blend of global equalisation and per-slice tiled equalisation, each with the hue preserved, weighted by the detail
+    and exposure of their levels, scrubbed and rescaled to 0..1. lam: the share of the uniform histogram; None: searched."""
     scratch = Scratch(vol.sparkSession, "contrast")  # each step below reads its input several times
     glob = scratch.write(equalise(vol, lam), "global")
     tiles = min(8, shape[1], shape[2])
     local = clahe_slices(glob.select("z", "y", "x", (F.col("i") / 255.0).alias("v")), shape, tiles).select("z", "y", "x", F.round(F.col("v") * 255).alias("l"))
-    both = scratch.write(glob.join(local, ["z", "y", "x"]).select("z", "y", "x", "y_g", preserve_hue(F.col("l"), F.col("i"), F.col("stretched")).alias("y_l")), "both")
-    wg = fusion_weights(both.select("z", "y", "x", F.col("y_g").alias("v")), shape).withColumnRenamed("w", "wg")
-    wl = fusion_weights(both.select("z", "y", "x", F.col("y_l").alias("v")), shape).withColumnRenamed("w", "wl")
+    both = scratch.write(glob.join(local, ["z", "y", "x"]).select("z", "y", "x", "g", "l", "y_g", preserve_hue(F.col("l"), F.col("i"), F.col("stretched")).alias("y_l")), "both")
+    wg = fusion_weights(both.select("z", "y", "x", F.col("g").alias("v")), shape).withColumnRenamed("w", "wg")
+    wl = fusion_weights(both.select("z", "y", "x", F.col("l").alias("v")), shape).withColumnRenamed("w", "wl")
     out = both.join(wg, ["z", "y", "x"]).join(wl, ["z", "y", "x"])
     blended = out.select("z", "y", "x", scrub(blend(F.col("y_g"), F.col("wg"), F.col("y_l"), F.col("wl"))).alias("v"))
     return rescale(scratch.write(blended, "blended"))

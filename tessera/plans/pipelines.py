@@ -22,13 +22,14 @@ def preprocess(vol: DataFrame, shape: Triple, factor: int = 1, sigma: float = 2.
     return stats.rescale(even).select("z", "y", "x", (F.col("v") * 255).cast("float").alias("v")), shape
 
 
-def clean_slices(vol: DataFrame, shape: Triple, lam: float = 1.0) -> DataFrame:
-    """Slice ETL: smooth by total variation and a Gaussian, sharpen, even out the contrast, scale to a byte, keep void
-    voxels void and the four highest bits."""
+def clean_slices(vol: DataFrame, shape: Triple, lam: float | None = None) -> DataFrame:
+    """Slice ETL: smooth by total variation and a Gaussian, sharpen, even out the contrast, equalise each slice in tiles
+    by 16 bins, scale to a byte, keep void voxels void and the four highest bits."""
     scratch = Scratch(vol.sparkSession, "clean")
     smooth = scratch.write(stencil.gaussian(stencil.tv_denoise(stats.rescale(vol), shape), shape, 2.0), "smooth")
     sharp = scratch.write(stencil.unsharp(smooth, shape, 4.0, 2.0), "sharp")
-    even = stencil.local_global_contrast(sharp, shape, lam)
+    contrast = scratch.write(stencil.local_global_contrast(sharp, shape, lam), "contrast")
+    even = stats.rescale(scratch.write(stencil.clahe_slices(contrast, shape, min(8, shape[1], shape[2]), 16, clip=0.16), "even"))
     both = even.join(vol.select("z", "y", "x", F.col("v").alias("raw")), ["z", "y", "x"])
     return both.select("z", "y", "x", high_nibble(keep_void(F.col("raw"), scale_to_byte(F.col("v"))).cast("int")).alias("v"))
 

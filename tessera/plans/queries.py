@@ -345,7 +345,7 @@ def glce_searched_lambda(spark, sf):
 
 @query()
 def contrast_3d(spark, sf):
-    return stencil.local_global_contrast(vol(spark, sf), SHAPE, 1.0).withColumn("v", r6("v"))
+    return stencil.local_global_contrast(vol(spark, sf), SHAPE).withColumn("v", r6("v"))
 
 
 # --- neighbours and labels
