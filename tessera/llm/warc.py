@@ -27,8 +27,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BEGIN, _END = "WARC/1.1\r\n", "\r\n\r\n"
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string")))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string"), F.lit(":"), digest))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-"), part(13, 4), F.lit("-"), part(17, 4), F.lit("-"), part(21, 12), F.lit(">"))
 
@@ -54,19 +54,19 @@ def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(resolved: DataFrame, path: str, records: int = RECORDS) -> None:
     """Write the archives as gzip files of WARC/1.1 records; revisits have fresh headers and no payload. A record's id
-    follows from its page_id (rows that repeat one share it); without a page_id it is a random one."""
+    follows from its page_id and payload (rows equal in both share it); without a page_id it is a random one."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("record_type") == "revisit"
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     record = F.concat(
         F.lit(_BEGIN),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.coalesce(_record_id(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
+        line("WARC-Record-ID", F.coalesce(_record_id(F.col("page_id"), F.col("payload_digest")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("payload_digest"))), line("Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit("\r\n"),

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -33,6 +34,18 @@ def test_parse_rejoins_records_that_hold_separators():
         list(warc.parse([b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabc"]))
 
 
+def test_record_ids(spark, tmp_path):
+    body, path = "x" * 100, f"file://{tmp_path}/archives"
+    rows = [(1, "u", body), (1, "u", "y" * 100), (1, "u", "short"), (2, "u", body), (None, "u", body), (None, "u", body)]
+    warc.write(warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string")), path)
+    names = sorted(str(p) for p in (tmp_path / "archives").glob("*.gz"))
+    heads = [h for n in names for h, _ in warc.parse(gzip.open(n).read().split(b"\r\n\r\nWARC/1.1\r\n"))]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)  # no two records share an id
+    (revisit,) = [h for h in heads if h["WARC-Type"] == "revisit"]
+    (first,) = [h for h in heads if h["WARC-Record-ID"] == revisit["WARC-Refers-To"]]
+    assert first["Page-ID"] == "1" and first["WARC-Payload-Digest"] == revisit["WARC-Payload-Digest"] and first["Content-Length"] == "100"
+
+
 def test_session_keeps_its_settings(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     warc.round_trip(spark.createDataFrame([(1, "u", "x" * 5_000_000)] * 3, "page_id long, url string, html string")).count()
