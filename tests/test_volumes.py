@@ -253,3 +253,74 @@ def test_slice_etl(spark):
     even = brute_clahe(brute_contrast(sharp, lam), (2, 8, 8), 16, 0.16)
     want = np.where(a == 0, 0, (unit(even) * 255).astype(int) & 0xF0)
     assert (out == want).mean() > 0.98 and np.all(out[:, :2] == 0)  # rounding may move a voxel over a step
+
+
+def brute_gaussian(a, sigma):
+    for axis in range(3):
+        w = stencil.gaussian_weights(sigma)
+        places = [np.clip(np.arange(a.shape[axis]) + k - len(w) // 2, 0, a.shape[axis] - 1) for k in range(len(w))]
+        a = sum(x * np.take(a, i, axis) for x, i in zip(w, places, strict=True))
+    return a
+
+
+def test_preprocess_is_that_of_numpy(spark):
+    a = np.random.default_rng(13).integers(0, 255, (6, 8, 10))
+    vol, shape = pipelines.preprocess(frame(spark, a), a.shape, factor=2, bins=16)
+    small = a.reshape(3, 2, 4, 2, 5, 2).sum((1, 3, 5)).astype(float)
+    even = brute_clahe(unit(brute_gaussian(small, 2.0)), (3, 4, 5), 16, 0.16)
+    assert shape == small.shape
+    got = array(vol, shape)
+    assert np.isclose(got, unit(even) * 255, atol=1e-3).mean() > 0.98  # rounding may move a voxel to the next bin
+
+
+def test_total_variation_minimises_its_energy():
+    rng = np.random.default_rng(14)
+    v = np.kron(rng.random((3, 3)), np.ones((5, 5))) + rng.normal(0, 0.05, (15, 15))
+
+    def energy(u):
+        down, right = np.diff(u, axis=0, append=u[-1:]), np.diff(u, axis=1, append=u[:, -1:])
+        return 0.1 * np.sqrt(down**2 + right**2).sum() + ((u - v) ** 2).sum() / 2
+
+    u = stencil.denoise_slice(v, 0.1, eps=1e-9, most=3000)
+    assert np.isclose(u.mean(), v.mean())
+    best = energy(u)
+    assert best < energy(v) and best < energy(np.full_like(v, v.mean()))
+    for _ in range(200):  # the energy is convex: no step to anywhere lowers it
+        step = rng.normal(0, 1, v.shape) * 10.0 ** rng.uniform(-3, -1) * (rng.random(v.shape) < rng.random())
+        assert energy(u + step) >= best - 1e-4
+    for other in (v, np.full_like(v, v.mean())):
+        assert energy(0.95 * u + 0.05 * other) >= best - 1e-4
+
+
+def test_segmentation_is_that_of_plain_loops(spark):
+    a = np.random.default_rng(15).integers(0, 256, (4, 8, 8))
+    got = pipelines.segment(frame(spark, a, "int"), a.shape, 100, block=4, step=2)
+    segment, grey = array(got, a.shape, "segment"), array(got, a.shape, "grey")
+
+    v = unit(np.where(a < 100, 0, a).astype(float))
+    labels = np.zeros(a.shape, int)
+    for number, (y, x) in enumerate(itertools.product((0, 4), (0, 4))):
+        part = (slice(None), slice(y, y + 4), slice(x, x + 4))
+        labels[part] = number * 64 + superpixels.snic_block(v[part], 2, 10.0)
+    mean = {k: v[labels == k].mean() for k in np.unique(labels).tolist()}
+    edges = set()
+    for axis in range(3):
+        one, two = np.moveaxis(labels, axis, 0)[:-1].ravel().tolist(), np.moveaxis(labels, axis, 0)[1:].ravel().tolist()
+        edges |= {(p, q) for p, q in [*zip(one, two, strict=True), *zip(two, one, strict=True)] if p != q}
+    iso = 100 / 256
+    top = sorted(mean, key=lambda k: (-min(int(mean[k] * 16), 15), -mean[k], k))[:256]
+    owner = {k: i for i, k in enumerate(top, 1) if mean[k] >= iso}
+    front = dict(owner)
+    while front:
+        claims = {}
+        for p, q in edges:
+            if p in front and q not in owner and mean[q] >= iso:
+                claims.setdefault(q, []).append((-mean[p], front[p]))
+        front = {q: min(c)[1] for q, c in claims.items()}
+        owner |= front
+    members = {s: [k for k in owner if owner[k] == s] for s in set(owner.values())}
+    order = sorted(members, key=lambda s: (np.mean([mean[k] for k in members[s]]), s))
+    number = {s: i for i, s in enumerate(order, 1)}
+    want = np.vectorize(lambda k: number[owner[k]] if k in owner else 0)(labels)
+    assert len(order) > 1 and np.array_equal(segment, want)
+    assert np.array_equal(grey, want * 256 // (len(order) + 1))
