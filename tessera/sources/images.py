@@ -1,4 +1,5 @@
-"""Slices from image files: TIFF pages with 8 or 16 bits, JPG and PNG by Spark's image source. A worker holds a file at a time."""
+"""Slices from image files: TIFF pages with 8 or 16 bits, JPG and PNG by Spark's image source. A worker holds an Arrow batch of files,
+which ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds, and the pixels of one page."""
 
 from __future__ import annotations
 
