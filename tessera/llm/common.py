@@ -26,6 +26,14 @@ NULL_ID = -(2**63)
 class Scratch(shared.Scratch):
     SETTINGS = shared.Scratch.SETTINGS | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
 
+    def write_lists(self, df: DataFrame, table: str, by: str) -> DataFrame:
+        """As ``write``, with a folder for each value of the integer column ``by``, which comes last when it is read."""
+        path = f"{self.root}/{table}"
+        self.tables.add(table)
+        with shared.settings(self.spark, self.SETTINGS):
+            df.write.mode("overwrite").partitionBy(by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in order, about ``most`` bytes of strings and binaries at a time."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fim, jaccard, merkle, packing, pivots, quality, substring, suffix, toolcalls, warc
+from tessera.llm import bpe, fim, jaccard, merkle, packing, pivots, quality, secrets, substring, suffix, toolcalls, warc
 
 
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), secrets.RULES), secrets.RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivots": op1_pivots,
     "op2_merkle": op2_merkle,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_jaccard": op10_jaccard,
     "op11_fim": op11_fim,
+    "op12_secrets": op12_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +119,24 @@ ORACLE_SQL: dict[str, str] = {
                sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else text end) as output_sha256,
                sha256(text) as restored_sha256 from p
     """,
+    # a match begins behind all gaps and matches before it; the gaps are what regexp_split_to_array leaves
+    "op12_secrets": r"""
+        with t as (select doc_id, coalesce(text, '') as text from documents),
+        k as (select unnest(['assign', 'access', 'hex']) as kind, unnest([0, 1, 2]) as listed),
+        m as (select doc_id, text, kind, listed, case listed
+                         when 0 then regexp_extract_all(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+                         when 1 then regexp_extract_all(text, 'AKIA[A-Z0-9]+') else regexp_extract_all(text, '[0-9a-f]{16,}') end as found, case listed
+                         when 0 then regexp_split_to_array(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+                         when 1 then regexp_split_to_array(text, 'AKIA[A-Z0-9]+') else regexp_split_to_array(text, '[0-9a-f]{16,}') end as gaps
+              from t, k),
+        e as (select doc_id, kind, listed, found, gaps, unnest(range(1, len(found) + 1)) as i from m),
+        s as (select doc_id, kind, listed, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint) as start, found[i] as hit from e),
+        g as (select doc_id, kind, listed, start, start + length(hit) as stop,
+                     case listed when 0 then length(regexp_extract(hit, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12 when 1 then length(hit) >= 18 else true end as good from s),
+        a as (select doc_id, count(*) filter (listed = 0) as n_assign, count(*) filter (listed = 1) as n_access, count(*) filter (listed = 2) as n_hex,
+                     string_agg(kind || ':' || start || ':' || stop, ',' order by start, listed) as spans from g where good group by 1)
+        select t.doc_id as doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+        from t left join a on t.doc_id = a.doc_id
+    """,
 }
