@@ -13,15 +13,15 @@ _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 @functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, for n places at least."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    return _powers(1 << max(16, int(n).bit_length()), base)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,16 +41,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts; a word never spans two texts.
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts, or those between other separators; a word never spans two
+    texts. ``fold`` gives the byte that stands for each byte.
 
     start, end: byte positions; row: the text of each word; first: the first word of each text (one entry more).
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, separator: np.ndarray = _SEPARATOR, fold: np.ndarray | None = None):
         self.data, self.offsets = text_bytes(column)
+        if fold is not None:
+            self.data = fold[self.data]
         n = len(self.data)
         inside = np.zeros(n + 2, bool)
-        inside[1 : n + 1] = ~_SEPARATOR[self.data]
+        inside[1 : n + 1] = ~separator[self.data]
         begins = inside[1:] & ~inside[:-1]
         ends = inside[:-1] & ~inside[1:]
         cuts = self.offsets[1:-1]
@@ -62,8 +65,8 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        up, down = powers(len(self.data) + 1)
+    def hashes(self, base: int = _BASE) -> np.ndarray:
+        up, down = powers(len(self.data) + 1, base)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fim, jaccard, merkle, packing, pivots, quality, secrets, substring, suffix, toolcalls, warc
+from tessera.llm import bpe, collocations, fim, jaccard, merkle, packing, pivots, quality, secrets, substring, suffix, toolcalls, warc
 
 
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), secrets.RULES), secrets.RULES)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=10, cover=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivots": op1_pivots,
     "op2_merkle": op2_merkle,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
     "op11_fim": op11_fim,
     "op12_secrets": op12_secrets,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -139,4 +144,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
         from t left join a on t.doc_id = a.doc_id
     """,
+    "op13_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+        o as (select lang, unnest(ws) as w1, unnest(ws[2:]) as w2, unnest(ws[3:]) as w3 from w),
+        f1 as (select lang, w1, count(*) as f from o group by all),
+        f2 as (select lang, w1, w2, count(*) as f from o where w2 is not null group by all),
+        f3 as (select lang, w1, w2, w3, count(*) as f from o where w3 is not null group by all having count(*) >= 10),
+        n as (select lang, sum(f) as n from f1 group by 1),
+        s as (select f2.lang as lang, f2.w1 as w1, f2.w2 as w2, null as w3, f2.f as a, 1 as k, x.f as l, y.f as r from f2, f1 x, f1 y where f2.f >= 10 and x.lang = f2.lang and y.lang = f2.lang and x.w1 = f2.w1 and y.w1 = f2.w2
+              union all select f3.lang, f3.w1, f3.w2, f3.w3, f3.f, 1, x.f, y.f from f3, f1 x, f2 y where x.lang = f3.lang and y.lang = f3.lang and x.w1 = f3.w1 and y.w1 = f3.w2 and y.w2 = f3.w3
+              union all select f3.lang, f3.w1, f3.w2, f3.w3, f3.f, 2, x.f, y.f from f3, f2 x, f1 y where x.lang = f3.lang and y.lang = f3.lang and x.w1 = f3.w1 and x.w2 = f3.w2 and y.w1 = f3.w3),
+        c as (select *, cast((1000000::hugeint * a * a) // (l::hugeint * r) as bigint) as score from s),
+        b as (select * from c qualify row_number() over (partition by lang, w1, w2, w3 order by score, k) = 1),
+        g as (select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all),
+        d as (select b.*, concat_ws(' ', b.w1, b.w2, b.w3) as phrase from b left join g on b.w3 is null and g.lang = b.lang and g.w1 = b.w1 and g.w2 = b.w2 where g.f is null or 100 * g.f < 50 * a),
+        t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from d qualify rank <= 2000)
+        select t.lang as lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n.n as bigint) as n, score from t join n on t.lang = n.lang
+    """,
 }
