@@ -43,6 +43,19 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
+#: White space beyond this many characters on end is more than the encoding's own scan takes (it gives up at about a million).
+LONG_SPACE = 100_000
+_LONG_SPACE = regex.compile(rf"\s{{{LONG_SPACE}}}")
+
+
+def ordinary(bpe, text: str, pattern: str) -> list[int]:
+    """The ids of a text. Where white space runs on for very long, the matches of the pattern are found here and merged
+    one by one, which gives the same ids."""
+    if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+        return [i for m in _pattern(pattern).finditer(text) for i in bpe._encode_single_piece(m[0])]
+    return bpe.encode_ordinary(text)
+
+
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int, bool]]:
     """(start, start of the next chunk or the text's end, end, whether it is the last) of each chunk.
 
@@ -91,11 +104,11 @@ def encode_chunk(text: str, after: int, first: bool, last: bool, lead: int, path
             if b > stop or (at > lead and lead_at):
                 break
             if _safe(text, b):
-                ids += bpe.encode_ordinary(text[at:b])
+                ids += ordinary(bpe, text[at:b], pattern)
                 lead_at.append(b)
                 lead_ids.append(len(ids))
                 at = b
-    ids += bpe.encode_ordinary(text[at:stop])
+    ids += ordinary(bpe, text[at:stop], pattern)
     return ids, lead_at, lead_ids, cut
 
 
@@ -127,7 +140,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoding(path, pattern)
-        return result(batch["did"].to_pylist(), [bpe.encode_ordinary(x) for x in strings(batch["text"])])
+        return result(batch["did"].to_pylist(), [ordinary(bpe, x, pattern) for x in strings(batch["text"])])
 
     def cut(batch: pa.RecordBatch) -> pa.Table | None:
         found = []

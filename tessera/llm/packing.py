@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm import bpe
 from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, strings
 
 CAPACITY = 2048
@@ -97,8 +98,8 @@ def _encoder(path: str, by_ranks: bool) -> Callable[[str], list[int]]:
     letters = _bytes_of_letters()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     own = {bytes(letters[c] for c in t): i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
-    fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=own, special_tokens={}).encode_ordinary
-    return lambda text: slow(text) if any(x in text for x in special) else fast(text)
+    fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=own, special_tokens={})
+    return lambda text: slow(text) if any(x in text for x in special) else bpe.ordinary(fast, text, SPLIT)
 
 
 def token_bytes(text: str, path: str, by_ranks: bool) -> bytes:

@@ -8,6 +8,7 @@ No conversation is gathered: links are hash joins by (conversation, identifier),
 from __future__ import annotations
 
 import json
+import math
 import re
 from typing import Any
 
@@ -111,6 +112,14 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _finite(number: str) -> float:
+    """JSON has no infinity, which a number beyond a double would become."""
+    value = float(number)
+    if math.isinf(value):
+        raise ValueError(number)
+    return value
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level), calls (conv_id, call_id, turn, depends_on) one a key: the topological order. A call's
     level is one more than the highest of the calls that it depends on; 0 without any.
@@ -175,7 +184,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     Order messages by (conv_id, level, turn): calls come after those that they depend on; see ``levels``.
     valid: arguments are JSON that meets the schema of the call's name; problems say why not. canonical: the call with
     the content and turn of its first result, or null, as canonical JSON; null for other messages. Arguments that aren't
-    JSON, or are nested deeper than ``DEEPEST``, stand in it as text. Schemas with unknown keywords raise ValueError.
+    JSON (numbers beyond a double among them), or are nested deeper than ``DEEPEST``, stand in it as text. Schemas with unknown keywords raise ValueError.
 
     Of calls with one identifier the first by turn (then by arguments) is meant by results and dependencies; the others
     are reported too, unlinked, with the problem "repeated identifier". Null identifiers link with nothing; null
@@ -198,7 +207,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         valid, wrong, text = [], [], []
         for call_id, name, arguments, answer in zip(*(batch[c].to_pylist() for c in ("call_id", "name", "arguments", "answer")), strict=True):
             try:
-                value = json.loads(arguments if arguments is not None else "", parse_constant=_no_constant)
+                value = json.loads(arguments if arguments is not None else "", parse_constant=_no_constant, parse_float=_finite)
                 if depth(value) > DEEPEST:
                     value, bad = arguments, ["nested too deeply"]
                 else:

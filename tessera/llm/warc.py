@@ -131,10 +131,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved_lengths(records: DataFrame) -> DataFrame:
-    """Records as ``read`` gives them, revisits with the length of the response that they refer to."""
-    responses = records.where("record_type = 'response' and page_id is not null").groupBy("page_id").agg(F.max("payload_bytes").alias("found"))
+    """Records as ``read`` gives them, revisits with the length of the response that they refer to: that of the page and
+    the digest, for a repeated page_id may have responses with several payloads."""
+    key = ["page_id", "payload_digest"]
+    responses = records.where("record_type = 'response' and page_id is not null").groupBy(*key).agg(F.max("payload_bytes").alias("found"))
     responses = responses.withColumnRenamed("page_id", "refers_to")
-    joined = records.where("record_type = 'revisit'").join(responses, "refers_to", "left")
+    joined = records.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left")
     revisits = joined.select("page_id", F.coalesce("payload_bytes", "found").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return records.where("record_type = 'response'").select(revisits.columns).unionByName(revisits)
 

@@ -51,3 +51,32 @@ def test_production_chunks(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2])] * 3
     got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH, PATTERN, with_ids=True).collect()
     assert sorted((r.doc_id, r.ids) for r in got) == sorted((i, bpe.encoding(PATH, PATTERN).encode_ordinary(t)) for i, t in rows)
+
+
+def plain_ids(text):
+    """Merging of each match of the pattern; one of very many spaces is cut between two of them, which no token joins."""
+    bpe_, out = bpe.encoding(PATH, PATTERN), []
+    for m in bpe._pattern(PATTERN).finditer(text):
+        n = len(m[0]) // 3
+        assert n < 1000 or m[0][n - 1] == m[0][n] == m[0][2 * n] == m[0][2 * n - 1]
+        out += [i for part in ([m[0]] if n < 1000 else [m[0][:n], m[0][n : 2 * n], m[0][2 * n :]]) for i in bpe_.encode_ordinary(part)]
+    return out
+
+
+def test_very_long_white_space(spark):
+    n = 1_500_000
+    assert not any(t in bpe.encoding(PATH, PATTERN)._mergeable_ranks for t in (b"  ", b"\t\t"))
+    texts = [" " * n, "a" + " " * n, "\t" * n + "b c", "word " * 10 + " " * n + "end.", "\x85" * 10 + " " * n + "\u2003 x"]
+    for text in texts:
+        assert bpe.ordinary(bpe.encoding(PATH, PATTERN), text, PATTERN) == plain_ids(text)
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, PATTERN).collect()
+    for r in got:
+        ids = plain_ids(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_both_ways_give_the_same_ids():
+    bpe_ = bpe.encoding(PATH, PATTERN)
+    for text in (" " * bpe.LONG_SPACE, "a b  c\n\n" + " " * bpe.LONG_SPACE + "\n" * 300_000 + " x's 12 é", "\r\n" * 200_000):
+        assert bpe.ordinary(bpe_, text, PATTERN) == bpe_.encode_ordinary(text)

@@ -128,3 +128,16 @@ def test_ranks_over_buckets(spark, monkeypatch):
     assert len(got) == 100
     for items in places.values():
         assert [x for x, _ in sorted(items)] == [sum(n for _, n in sorted(items)[:i]) for i in range(len(items))]
+
+
+def test_very_long_white_space(spark):
+    n = 1_500_000
+    texts = [" " * n, "\n" * n + "x", "a " * 5 + "\t" * n, "b" + " \n" * (n // 2) + " c"]
+    tokenizer = packing._tokenizer(PATH)
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert packing.token_bytes(text, PATH, True) == ids[:-1].tobytes()
+        assert sorted(got[i]) == [(k, a, m, zlib.crc32(ids[a : a + m].tobytes())) for k, a, m, _ in sorted(got[i])] and sum(x[2] for x in got[i]) == len(ids)

@@ -94,3 +94,12 @@ def test_odd_arguments(spark):
             toolcalls.check_schema(schema)
     assert toolcalls.problems(True, {"enum": [1]}) and not toolcalls.problems(1.0, {"enum": [1]})
     assert toolcalls.problems(5, {"maximum": 4}) and toolcalls.problems("abc", {"maxLength": 2}) and toolcalls.problems({"z": 1}, {"additionalProperties": {"type": "string"}})
+
+
+def test_numbers_beyond_a_double_are_not_json(spark):
+    odd = ['{"text":"a","turn":1e999}', '{"text":["b",{"c":-1E400}],"turn":1}', "1e999", "[1e999]", "Infinity", '{"turn":NaN}', "1" * 5000]
+    rows = [(1, i, "call", f"c{i}", "reply", text, None, None, "") for i, text in enumerate(odd)] + [(1, 99, "call", "ok", "reply", '{"text":"a","turn":1e300}', None, None, "")]
+    got = {r.call_id: r for r in toolcalls.link(spark.createDataFrame(rows, MESSAGE), {"reply": {"type": "object"}}).collect()}
+    for i, text in enumerate(odd):
+        assert got[f"c{i}"].problems == ["not JSON"] and json.loads(got[f"c{i}"].canonical)["arguments"] == text
+    assert got["ok"].valid

@@ -22,6 +22,12 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_several_payloads(spark):
+    rows = [(1, "u", "a" * 200), (1, "u", "b" * 5000), (2, "u", "a" * 200), (3, "u", "b" * 5000)]
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(1, 200, "response", None), (1, 5000, "response", None), (2, 200, "revisit", 1), (3, 5000, "revisit", 1)}
+
+
 def test_parse_rejoins_records_that_hold_separators():
     record = lambda payload: b"WARC/1.1\r\nA: b\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
     payloads = [b"", b"\r\n\r\nWARC/1.1\r\n", b"x\r\n\r\nWARC/1.1\r\n\r\n\r\nWARC/1.1\r\ny", b"\r\n\r\n", b"WARC/1.1\r\n", b"plain"]
