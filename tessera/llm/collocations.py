@@ -36,6 +36,8 @@ LEAST, COVER, TOP = 10, 50, 2000
 BITS, SLOTS, HELD, FAN = 27, 1 << 17, 1 << 21, 16
 #: Bytes of a word beyond which a cryptographic hash takes the place of the polynomial one.
 LONG_WORD = 64
+#: Bytes of texts that a mapper works on at once, or one text: what it makes of them is some eighty times as large.
+BATCH = 1_000_000
 ATTEMPTS = 8
 
 _SPLIT = np.zeros(256, bool)  # ends a piece
@@ -107,7 +109,7 @@ def _gathered(make: Callable, flush: Callable, most: int) -> Callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch) if batch.num_rows else ():
+            for part in slices(batch, BATCH) if batch.num_rows else ():
                 held.append(make(part))
                 size += len(held[-1][0])
                 if size >= most:
@@ -395,7 +397,7 @@ def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP
             candidates += found
         shards = max(0, (-(-candidates // keys_a_shard) - 1).bit_length())
         parts = max(1, min(FAN * FAN, n_tasks >> shards))
-        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held), "occurrences")
+        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held // 2), "occurrences")
         for b in bitmaps:
             b.unpersist()
         keys = occurrences.where("keys is not null")
