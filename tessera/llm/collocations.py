@@ -33,7 +33,7 @@ from tessera.llm.perfect import PerfectHash
 #: Occurrences for a candidate, percent of them inside a longer candidate that drop it, phrases a language.
 LEAST, COVER, TOP = 10, 50, 2000
 #: Bits of a level's bitmap (as a power of 2), keys of a shard on average, entries that a mapper adds up at once, arrays added at once.
-BITS, SLOTS, HELD, FAN = 27, 1 << 17, 1 << 21, 16
+BITS, SLOTS, HELD, FAN = 26, 1 << 17, 1 << 21, 16
 #: Bytes of a word beyond which a cryptographic hash takes the place of the polynomial one.
 LONG_WORD = 64
 #: Bytes of texts that a mapper works on at once, or one text: what it makes of them is some eighty times as large.
@@ -48,6 +48,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class _Scratch(Scratch):
+    #: What a function is handed at once: a row holds a shard's part of a mapper's entries.
+    SETTINGS = Scratch.SETTINGS | {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def _base(attempt: int) -> int:
     return int(mix(np.array([attempt + 77], np.uint64))[0]) | 5
 
@@ -77,8 +82,12 @@ class Phrases:
         own = mix(self.hashes + np.array([seeds[x] for x in self.langs], np.uint64)[words.row])
         self.hashes = np.maximum(own, np.uint64(1))  # 0 stands for no word
 
-    def text(self, i: int) -> str:
-        return self.words.data[self.words.start[i] : self.words.end[i]].tobytes().decode()
+    def text(self, at: np.ndarray) -> pa.Array:
+        """The words at these places."""
+        start, size = self.words.start[at], (self.words.end - self.words.start)[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = self.words.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
 
     def frequent(self, bitmaps: list[np.ndarray], level: int) -> np.ndarray:
         """Where a phrase of ``level`` words begins whose parts may all be frequent, by the bitmaps of the levels there are."""
@@ -210,41 +219,51 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
 
     def make(batch: pa.RecordBatch) -> tuple:
         phrases, maps = Phrases(batch, attempt), [b.value for b in bitmaps]
-        keys = []
+        keys: list[list[np.ndarray]] = [[], [], [], []]
         for k in (1, 2, 3):
             at = phrases.frequent(maps, k)
             own = [phrases.hashes[at + j] for j in range(k)]
-            keys.append(np.stack([gram(*own), *own, *[np.zeros(len(at), np.uint64)] * (3 - k)]))
+            for column, x in zip(keys, [gram(*own), *own, *[np.zeros(len(at), np.uint64)] * (3 - k)], strict=True):
+                column.append(x)
             if k == 1:
-                values, first = np.unique(own[0], return_index=True)
-                where = at[first]
-                named = list(zip([phrases.langs[r] for r in phrases.words.row[where].tolist()], values.tolist(), [phrases.text(i) for i in where.tolist()], strict=True))
-        keys = np.concatenate(keys, axis=1)
-        return keys[0], keys, named
+                values, first, which = np.unique(own[0], return_index=True, return_inverse=True)
+                other = phrases.words.hashes(_base(attempt + ATTEMPTS))[at]
+                clash = bool((other[first[which]] != other).any())
+                names = pa.table([pa.array(phrases.langs).take(pa.array(phrases.words.row[at[first]])), pa.array(values), phrases.text(at[first])], ["lang", "w", "word"])
+        keys = [np.concatenate(x) for x in keys]
+        return keys[0], keys, names, clash
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([x[1] for x in held], axis=1)
-        keys = keys[:, np.argsort(keys[0], kind="stable")]
-        new = np.ones(keys.shape[1], bool)
-        new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        names, clash = pa.concat_tables([x[2] for x in held]).combine_chunks(), any(x[3] for x in held)
+        columns = [np.concatenate([x[1][i] for x in held]) for i in range(4)]
+        held.clear()
+        order, new = np.argsort(columns[0], kind="stable"), np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for i in range(4):
+            columns[i] = columns[i][order]
+            new[1:] |= columns[i][1:] != columns[i][:-1]
         begins = np.flatnonzero(new)
-        times, keys = np.diff(begins, append=len(new)).astype(np.uint32), keys[:, begins]
+        times, keys = np.diff(begins, append=len(new)).astype(np.uint32), np.stack([x[begins] for x in columns])
         shard, part = _shard(keys[0], shards), TaskContext.get().partitionId() % parts
         runs = _runs(shard)
-        langs: dict[str, dict[int, str]] = {}
-        clash = False
-        for _, _, named in held:
-            for lang, w, word in named:
-                clash |= langs.setdefault(lang, {}).setdefault(w, word) != word
-        k, m = len(runs), len(langs)
+
+        _, first, which = np.unique(names["w"].to_numpy(), return_index=True, return_inverse=True)
+        clash |= not names["word"].take(pa.array(first[which])).equals(names["word"])
+        names = names.take(pa.array(first)).sort_by("lang")
+        lang, ends = names["lang"].to_pylist(), [0]
+        for k in range(1, len(lang) + 1):
+            if k == len(lang) or lang[k] != lang[k - 1]:
+                ends.append(k)
+        k, m = len(runs), len(ends) - 1
+        lists = lambda x: pa.ListArray.from_arrays(pa.array([0] * k + ends, pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
         columns = [
             pa.array([int(shard[a]) for a, _ in runs] + [None] * m, pa.int32()),
             pa.array([part] * k + [None] * m, pa.int32()),
             pa.array([np.ascontiguousarray(keys[:, a:b]).tobytes() for a, b in runs] + [None] * m, pa.binary()),
             pa.array([times[a:b].tobytes() for a, b in runs] + [None] * m, pa.binary()),
-            pa.array([None] * k + list(langs), pa.string()),
-            pa.array([None] * k + [np.array(list(d), np.uint64).view(np.int64) for d in langs.values()], pa.list_(pa.int64())),
-            pa.array([None] * k + [list(d.values()) for d in langs.values()], pa.list_(pa.string())),
+            pa.array([None] * k + [lang[i] for i in ends[:-1]], pa.string()),
+            lists(pa.array(names["w"].to_numpy().view(np.int64))),
+            lists(names["word"]),
             pa.array([clash] * (k + m), pa.bool_()),
         ]
         yield pa.record_batch(columns, ["shard", "part", "keys", "times", "lang", "ws", "words", "clash"])
@@ -387,7 +406,7 @@ def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for attempt in range(ATTEMPTS):
-        scratch, n_tasks = Scratch(spark, "collocations"), partitions(spark)
+        scratch, n_tasks = _Scratch(spark, "collocations"), partitions(spark)
         level_shards = min(12, max(1, (n_tasks - 1).bit_length()))
         bitmaps, candidates = [], 0
         for level in (1, 2, 3):
