@@ -64,6 +64,37 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a bitmap of hashes, as a power of 2, whatever the input is; and shards that make parts of it.
+BITS, _SHARDS = 26, 6
+
+
+def bitmap(scratch: Scratch, hashes: DataFrame, table: str) -> np.ndarray:
+    """A bit for the first ``BITS`` bits of each hash (one column of longs), packed: 2**BITS bits, of which each task makes
+    a part. A hash that isn't there has a set bit with the share of bits set, and one that is there always."""
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch["h"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            shard = (at >> np.uint64(BITS - _SHARDS)).astype(np.int64)
+            for s in np.unique(shard).tolist():
+                parts.setdefault(s, np.zeros(1 << (BITS - _SHARDS), bool))[at[shard == s] & np.uint64((1 << (BITS - _SHARDS)) - 1)] = True
+        for s, bits in parts.items():
+            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["shard", "bits"])
+
+    rows = hashes.toDF("h").withColumn("shard", F.shiftrightunsigned("h", 64 - _SHARDS)).repartition(partitions(scratch.spark), "shard").select("h")
+    out, width = np.zeros(1 << (BITS - 3), np.uint8), 1 << (BITS - _SHARDS - 3)
+    for row in scratch.write(rows.mapInArrow(run, "shard int, bits binary"), table).collect():
+        out[row.shard * width : (row.shard + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    scratch.drop(table)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) >> np.uint64(64 - BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; a null is an empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

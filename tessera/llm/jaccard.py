@@ -4,7 +4,8 @@ Each text becomes the set of its word n-grams. From the root of each of several
 min-hashes of its own (1/similarity of them on average) and splits its sets by them: the sampled n-grams that sets share.
 No two nodes, and so no two runs, have a min-hash in common. A node with few sets is searched by brute force; larger ones
 are split again, level by level, as one shuffle for all nodes of a level. Nodes that are still large at the last level are
-searched in pairs of blocks. Sets that share a leaf are compared by a row of further min-hashes and then, exactly, by
+searched in pairs of blocks, and so is a node that holds most of its parent's sets, such as a large group of near copies,
+which would part only after many levels, if at all. Sets that share a leaf are compared by a row of further min-hashes and then, exactly, by
 their n-grams.
 
 A pair at the similarity wanted shares a node at level 1 of one run with a probability of 0.84 (at 0.8), at level 4 of
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import windows
-from tessera.llm.common import Scratch, id_or_null, keyed, map_batches, partitions
+from tessera.llm.common import Scratch, bitmap, id_or_null, in_bitmap, keyed, map_batches, partitions
 from tessera.operators.components import components
 from tessera.llm.hashing import Words, grams_of_words, mix
 
@@ -42,8 +43,8 @@ MISS, FILTERED = 8e-5, 2e-5
 FIRST = 3
 #: Sets of a node that are searched by brute force.
 LEAF = 1024
-#: Sets whose texts are looked up by a broadcast of their ids and hashes; more are looked up by a shuffle of the texts.
-SMALL = 100_000
+#: A node that holds a larger share of its parent's sets is not split further: its sets are too alike to part.
+PARTS = 0.75
 
 
 def shingles(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -122,12 +123,13 @@ def _signature_rows(column: pa.Array, places: int = PLACES) -> np.ndarray:
 
 def _nodes(similarity: float):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for data, nodes in zip(batch["set"].to_pylist(), batch["nodes"].to_pylist(), strict=True):
-            of = seeds(np.array(nodes, np.int64).view(np.uint64), similarity)
-            out.append(children(of, np.frombuffer(data, np.uint64), np.zeros(1, np.int64)).ravel())
+        out, above = [], []
+        for data, nodes, sizes in zip(batch["set"].to_pylist(), batch["node"].to_pylist(), batch["above"].to_pylist(), strict=True):
+            of = [seeds(np.array([x], np.int64).view(np.uint64), similarity) for x in nodes]
+            out.append(children(np.concatenate(of), np.frombuffer(data, np.uint64), np.zeros(1, np.int64)).ravel())
+            above += [s for s, x in zip(sizes, of, strict=True) for _ in x]
         which = np.repeat(np.arange(len(out)), [len(x) for x in out])
-        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), batch["digest"].take(pa.array(which))], ["node", "digest"])
+        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), batch["digest"].take(pa.array(which)), pa.array(above, pa.int64())], ["node", "digest", "above"])
 
     return run
 
@@ -277,37 +279,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         return pa.record_batch([batch["digest"], pa.array([grams[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["digest", "set"])
 
     def sets_of(some: DataFrame) -> DataFrame:
+        """(digest, set). Only texts whose id and hash are in a bitmap of those wanted are shuffled."""
         nonlocal looked_up
         looked_up += 1
         wanted = some.select("digest").distinct().join(classes.select("digest", F.col("rep").alias("did"), "th"), "digest")
         wanted = scratch.write(wanted, f"wanted-{looked_up}")
-        few = wanted.count() <= SMALL  # 32 bytes a row
-        texts = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
+        bits = spark.sparkContext.broadcast(bitmap(scratch, wanted.select(F.xxhash64("did", "th")), f"bits-{looked_up}"))
+
+        @F.arrow_udf("boolean")
+        def maybe(h: pa.Array) -> pa.Array:
+            return pa.array(in_bitmap(bits.value, h.to_numpy()))
+
+        texts = rows.where(maybe(F.xxhash64("did", "th"))).join(wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
         return map_batches(texts, sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
 
     looked_up = 0
     leaves, split = [], None  # split: the n-grams of the sets that were in a node too large for a leaf
 
     def descend(level: DataFrame, run: int) -> int:
-        """Split until nodes are small; the deepest level."""
+        """Split (node, digest, above), above: the rows of the node's parent, until nodes are small or hardly part; the
+        deepest level."""
         nonlocal split
         for depth in range(1, levels + 1):
             level = scratch.write(level, f"level-{run}-{depth}")
             sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
             sized = scratch.write(level.join(sizes, "node"), f"sized-{run}-{depth}")
             scratch.drop(f"level-{run}-{depth}")
-            leaves.append(sized if depth == levels else sized.where(F.col("size") <= leaf))
-            large = sized.where(F.col("size") > leaf)
+            parts = (F.col("size") > leaf) & (F.col("size") <= F.col("above") * PARTS)
+            leaves.append(sized if depth == levels else sized.where(~parts))
+            large = sized.where(parts)
             if depth == levels or not large.limit(1).count():
                 return depth
             if split is None:
                 split = scratch.write(sets_of(large), "split")
-            level = map_batches(large.groupBy("digest").agg(F.collect_list("node").alias("nodes")).join(split, "digest").select("digest", "set", "nodes"), _nodes(similarity), "node long, digest binary")
+            nodes = large.groupBy("digest").agg(F.collect_list(F.struct("node", F.col("size").alias("above"))).alias("nodes"))
+            level = map_batches(nodes.join(split, "digest").select("digest", "set", "nodes.node", "nodes.above"), _nodes(similarity), "node long, digest binary, above long")
 
-    deepest = descend(classes.select(F.explode("nodes").alias("node"), "digest"), 0)
+    n_sets = F.lit(classes.count())
+    deepest = descend(classes.select(F.explode("nodes").alias("node"), "digest", n_sets.alias("above")), 0)
     while (needed := runs_needed(deepest, similarity)) > runs:
-        more = F.array(*[F.lit(r).cast("long") for r in roots(runs, needed).view(np.int64).tolist()])
-        deepest = max(deepest, descend(map_batches(split.select("digest", "set", more.alias("nodes")), _nodes(similarity), "node long, digest binary"), runs))
+        more = [F.lit(r).cast("long") for r in roots(runs, needed).view(np.int64).tolist()]
+        level = split.select("digest", "set", F.array(*more).alias("node"), F.array_repeat(n_sets, len(more)).alias("above"))
+        deepest = max(deepest, descend(map_batches(level, _nodes(similarity), "node long, digest binary, above long"), runs))
         runs = needed
     leaves = functools.reduce(DataFrame.unionByName, leaves)
 
