@@ -33,11 +33,13 @@ from tessera.llm.perfect import PerfectHash
 #: Occurrences for a candidate, percent of them inside a longer candidate that drop it, phrases a language.
 LEAST, COVER, TOP = 10, 50, 2000
 #: Bits of a level's bitmap (as a power of 2), keys of a shard on average, entries that a mapper adds up at once, arrays added at once.
-BITS, SLOTS, HELD, FAN = 26, 1 << 17, 1 << 21, 16
+BITS, SLOTS, HELD, FAN = 26, 1 << 17, 1 << 20, 16
 #: Bytes of a word beyond which a cryptographic hash takes the place of the polynomial one.
 LONG_WORD = 64
 #: Bytes of texts that a mapper works on at once, or one text: what it makes of them is some eighty times as large.
-BATCH = 1_000_000
+BATCH = 500_000
+#: Keys of a row of the table of candidates: some 256 kB.
+BLOB = 8192
 ATTEMPTS = 8
 
 _SPLIT = np.zeros(256, bool)  # ends a piece
@@ -245,7 +247,7 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
         begins = np.flatnonzero(new)
         times, keys = np.diff(begins, append=len(new)).astype(np.uint32), np.stack([x[begins] for x in columns])
         shard, part = _shard(keys[0], shards), TaskContext.get().partitionId() % parts
-        runs = _runs(shard)
+        runs = [(i, min(i + BLOB, b)) for a, b in _runs(shard) for i in range(a, b, BLOB)]
 
         _, first, which = np.unique(names["w"].to_numpy(), return_index=True, return_inverse=True)
         clash |= not names["word"].take(pa.array(first[which])).equals(names["word"])
@@ -416,7 +418,7 @@ def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP
             candidates += found
         shards = max(0, (-(-candidates // keys_a_shard) - 1).bit_length())
         parts = max(1, min(FAN * FAN, n_tasks >> shards))
-        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held // 2), "occurrences")
+        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held // 4), "occurrences")
         for b in bitmaps:
             b.unpersist()
         keys = occurrences.where("keys is not null")
