@@ -1,19 +1,22 @@
 """Weighted neighbourhoods: smoothing, sharpening, Laplacian, tiled equalisation and total-variation smoothing.
 
-Voxels go to the places whose sums they enter (an explode along one axis, no join); borders repeat or mirror the volume.
+Smoothing, sharpening and the Laplacian are kernels over dense blocks that exchange halos (``blocks``); borders repeat or
+mirror the volume. Total variation works in overlapping tiles that exchange their dual variables.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scalars import blend, clamp, preserve_hue, scrub, well_exposed
+from tessera.operators import blocks
+from tessera.operators.blocks import Blocks
 from tessera.operators.stats import LEVELS, equalise, rescale
 from tessera.sources.shared import Scratch
 
@@ -26,56 +29,19 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _along(vol: DataFrame, axis: str, size: int, taps: list[tuple[int, float]]) -> DataFrame:
-    """v(p) = sum over taps (d, w) of w v(p+d), where places beyond the border stand for the border voxel."""
-    reach = max(abs(d) for d, _ in taps)
-    weights = F.array(*[F.lit(float(w)) for _, w in taps])
-    offsets = F.array(*[F.lit(d) for d, _ in taps])
-    q = F.col(axis)
-    # the places p whose tap d is this voxel: p = q - d, and at a border all p with p + d beyond it
-    low = F.when(q == 0, F.lit(-reach)).otherwise(q)
-    high = F.when(q == size - 1, F.lit(size - 1 + reach)).otherwise(q)
-    pairs = F.flatten(F.transform(F.sequence(low, high), lambda u: F.filter(F.transform(F.arrays_zip(offsets.alias("d"), weights.alias("w")), lambda t: F.struct((u - t["d"]).alias("p"), t["w"].alias("w"))), lambda t: (t["p"] >= 0) & (t["p"] < size))))
-    others = [c for c in "zyx" if c != axis]
-    rows = vol.select(*others, F.col("v").cast("double").alias("v"), F.explode(pairs).alias("t"))
-    return rows.groupBy(*others, F.col("t.p").cast("int").alias(axis)).agg(F.sum(F.col("v") * F.col("t.w")).alias("v")).select("z", "y", "x", "v")
+def gaussian(vol: DataFrame, shape: Triple, sigma: float, edge: int = blocks.EDGE) -> DataFrame:
+    """Gaussian smoothing; places beyond the border stand for the border voxel. Voxels that are not there count as 0."""
+    return blocks.smooth(Blocks.of(vol, shape, edge), gaussian_weights(sigma)).voxels()
 
 
-def gaussian(vol: DataFrame, shape: Triple, sigma: float) -> DataFrame:
-    """Gaussian smoothing, axis by axis."""
-    w = gaussian_weights(sigma)
-    taps = [(k - len(w) // 2, x) for k, x in enumerate(w)]
-    for axis, size in zip("zyx", shape, strict=True):
-        vol = _along(vol, axis, size, taps)
-    return vol
-
-
-def unsharp(vol: DataFrame, shape: Triple, radius: float = 4.0, amount: float = 2.0, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def unsharp(vol: DataFrame, shape: Triple, radius: float = 4.0, amount: float = 2.0, low: float = 0.0, high: float = 1.0, edge: int = blocks.EDGE) -> DataFrame:
     """v + amount (v - smoothed v), within low..high."""
-    smooth = gaussian(vol, shape, radius).withColumnRenamed("v", "g")
-    v = F.col("v").cast("double")
-    return vol.join(smooth, ["z", "y", "x"]).select("z", "y", "x", clamp(v + amount * (v - F.col("g")), low, high).alias("v"))
-
-
-def _mirror(p: Column, size: int) -> Column:
-    return F.when(p < 0, -p).when(p >= size, 2 * (size - 1) - p).otherwise(p)
+    return blocks.sharpen(Blocks.of(vol, shape, edge), gaussian_weights(radius), amount, low, high).voxels()
 
 
-def laplacian(vol: DataFrame, shape: Triple) -> DataFrame:
-    """Per z-slice: 2 on the diagonals, -8 in the centre; borders mirror the volume without the border voxel.
-
-    Each voxel is sent to its neighbours and, mirrored, once more where it lies next to a border.
-    """
-    _, h, w = shape
-    taps = [(a, b, 2.0) for a in (-1, 1) for b in (-1, 1)] + [(0, 0, -8.0)]
-    goes = []
-    for dy, dx, weight in taps:
-        # targets p with mirror(p + d) = q: p = q - d, and for q next to a border the border itself
-        ys = [F.col("y") - dy] + ([F.when((F.col("y") == 1) & (dy == -1), F.lit(0)), F.when((F.col("y") == h - 2) & (dy == 1), F.lit(h - 1))] if dy else [])
-        xs = [F.col("x") - dx] + ([F.when((F.col("x") == 1) & (dx == -1), F.lit(0)), F.when((F.col("x") == w - 2) & (dx == 1), F.lit(w - 1))] if dx else [])
-        goes += [F.struct(y.cast("int").alias("y"), x.cast("int").alias("x"), F.lit(weight).alias("w")) for y in ys for x in xs]
-    rows = vol.select("z", F.col("v").cast("double").alias("v"), F.explode(F.array(*goes)).alias("t")).where(f"t.y between 0 and {h - 1} and t.x between 0 and {w - 1}")
-    return rows.groupBy("z", F.col("t.y").alias("y"), F.col("t.x").alias("x")).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+def laplacian(vol: DataFrame, shape: Triple, edge: int = blocks.EDGE) -> DataFrame:
+    """Per z-slice: 2 on the diagonals, -8 in the centre; borders mirror the volume without the border voxel."""
+    return blocks.laplacian(Blocks.of(vol, shape, edge)).voxels()
 
 
 def fusion_weights(vol: DataFrame, shape: Triple) -> DataFrame:
@@ -128,16 +94,8 @@ def denoise_slice(v: np.ndarray, weight: float = 0.1, eps: float = 2e-4, most: i
     p = np.zeros((2, *v.shape))
     out, before, first = v, None, None
     for i in range(most):
-        d = np.zeros_like(v)
-        d -= p[0] + p[1]
-        d[1:] += p[0, :-1]
-        d[:, 1:] += p[1, :, :-1]
-        out = v + d if i else v
-        g = np.zeros_like(p)
-        g[0, :-1], g[1, :, :-1] = np.diff(out, axis=0), np.diff(out, axis=1)
-        norm = np.sqrt((g**2).sum(0))
+        p, out, d, norm = _tv_step(v, p, weight)
         energy = ((d**2).sum() + weight * norm.sum()) / v.size
-        p = (p - 0.25 * g) / (1 + norm * 0.25 / weight)
         if i == 0:
             first = energy
         elif abs(before - energy) < eps * first:
@@ -146,17 +104,81 @@ def denoise_slice(v: np.ndarray, weight: float = 0.1, eps: float = 2e-4, most: i
     return out
 
 
-def tv_denoise(vol: DataFrame, shape: Triple, weight: float = 0.1) -> DataFrame:
-    """Total-variation smoothing slice by slice: a task holds one z-slice at a time."""
-    _, h, w = shape
+def _tv_step(v: np.ndarray, p: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(dual variables after a step, smoothed values before it, their difference from v, the norm of their gradient)."""
+    d = -(p[0] + p[1])
+    d[1:] += p[0, :-1]
+    d[:, 1:] += p[1, :, :-1]
+    out = v + d
+    g = np.zeros_like(p)
+    g[0, :-1], g[1, :, :-1] = np.diff(out, axis=0), np.diff(out, axis=1)
+    norm = np.sqrt((g**2).sum(0))
+    return (p - 0.25 * g) / (1 + norm * 0.25 / weight), out, d, norm
 
-    def run(table: pa.Table) -> pa.Table:
-        y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        v = np.zeros((h, w))
-        v[y, x] = table["v"].to_numpy()
-        return pa.table({"z": table["z"], "y": table["y"], "x": table["x"], "v": denoise_slice(v, weight)[y, x]})
 
-    return vol.select("z", "y", "x", F.col("v").cast("double").alias("v")).groupBy("z").applyInArrow(run, "z int, y int, x int, v double")
+def tv_denoise(vol: DataFrame, shape: Triple, weight: float = 0.1, eps: float = 2e-4, most: int = 200, tile: int = 512, inner: int = 16) -> DataFrame:
+    """Total-variation smoothing slice by slice, in overlapping tiles: a task holds a few tiles at a time, whatever the slice.
+
+    Each tile takes ``inner`` steps of the dual variables on itself and a border of its neighbours that is as wide, so that
+    its own values are those of the whole slice; then borders are exchanged anew. The energies of a round's steps are added
+    up per slice, and a slice ends at the step where it would end as a whole: at the first whose energy differs by less than
+    ``eps`` of the first energy, or after ``most`` steps. Results are those of ``denoise_slice`` but for the order in which
+    energies are added. The driver holds a few numbers a slice.
+    """
+    n_slices, h, w = shape
+    edge = (1, min(tile, h), min(tile, w))
+    rows = vol.select("z", "y", "x", F.col("v").cast("double").alias("v"))
+    if edge[1:] == (h, w):  # no borders
+        return Blocks.of(rows, shape, edge).map(lambda a, before, start: denoise_slice(a[0, 0], weight, eps, most)[None, None]).voxels()
+    scratch = Scratch(vol.sparkSession, "tv")
+    zero = F.lit(0.0)
+    state = Blocks.of(rows.select("z", "y", "x", "v", zero.alias("p0"), zero.alias("p1")), shape, edge, ("v", "p0", "p1")).kept(scratch, "state-0")
+    reach = (0, inner + 1, inner + 1)
+
+    def core(a: np.ndarray, before: Triple, start: Triple) -> tuple[slice, slice]:
+        return tuple(slice(before[i], before[i] + min(edge[i], shape[i] - start[i])) for i in (1, 2))
+
+    def steps(a: np.ndarray, before: Triple, start: Triple) -> tuple[np.ndarray, np.ndarray]:
+        v, p, at, energies = a[0, 0], a[1:, 0], core(a, before, start), []
+        for _ in range(inner):
+            p, _, d, norm = _tv_step(v, p, weight)
+            energies.append((d[at] ** 2).sum() + weight * norm[at].sum())
+        return np.stack([v[at], *p[(slice(None), *at)]])[:, None], np.array(energies)
+
+    def finish(ends: dict[int, int]):
+        def run(a: np.ndarray, before: Triple, start: Triple) -> np.ndarray:
+            v, p = a[0, 0], a[1:, 0]
+            for _ in range(ends[start[0]]):
+                p = _tv_step(v, p, weight)[0]
+            return _tv_step(v, p, weight)[1][core(a, before, start)][None, None]
+
+        return run
+
+    first: dict[int, float] = {}
+    last: dict[int, float] = {}
+    open_slices, done, turn = None, [], 0
+    while open_slices is None or open_slices:
+        out = state.map(steps, reach, extra=inner).kept(scratch, f"state-{turn + 1}")
+        sums = out.df.groupBy("bz").agg(F.array(*[F.sum(F.get("extra", F.lit(j))) for j in range(inner)]).alias("e"))
+        ends: dict[int, int] = {}
+        for z, energies in ((r.bz, r.e) for r in sums.collect()):
+            first.setdefault(z, energies[0])
+            for j, e in enumerate(energies):
+                i = turn * inner + j
+                if (z in last and abs(last[z] - e) < eps * first[z] * (i > 0)) or i == most - 1:
+                    ends[z] = j
+                    break
+                last[z] = e
+            last[z] = energies[-1]
+        if ends:
+            ended = state.where(F.col("bz").isin(list(ends))).map(finish(ends), reach, channels=1)
+            done.append(scratch.write(ended.df, f"done-{turn}"))
+        open_slices = {z for z in last if z not in ends} if open_slices is None else open_slices - set(ends)
+        state = out.where(~F.col("bz").isin(list(ends))) if ends else out
+        scratch.drop(f"state-{turn}")
+        turn += 1
+    scratch.keep(*[f"done-{i}" for i in range(turn)])
+    return Blocks(functools.reduce(DataFrame.unionByName, done), shape, edge).voxels() if done else rows
 
 
 def local_global_contrast(vol: DataFrame, shape: Triple, lam: float | None = None) -> DataFrame:

@@ -56,6 +56,18 @@ class Scratch:
             df.select("*").write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_buckets(self, df: DataFrame, table: str, by: list[str]) -> DataFrame:
+        """As ``write``, bucketed by a hash of ``by``: joins and aggregations by these columns don't shuffle the table."""
+        path, name = f"{self.root}/{table}", f"tessera_{uuid.uuid4().hex}"
+        self.tables.add(table)
+        with settings(self.spark, self.SETTINGS):
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.write.bucketBy(n, *by).format("parquet").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # noqa: B018  the plan has its files now
+        self.spark.sql(f"drop table {name}")  # the name only; the files are this run's
+        return out
+
     def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for table in tables:
