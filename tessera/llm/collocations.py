@@ -114,8 +114,9 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:] + [len(x)] * bool(cuts), strict=True))
 
 
-def _gathered(make: Callable, flush: Callable, most: int) -> Callable:
-    """A function for mapInArrow: ``make`` gives the entries of a batch, ``flush`` the rows for all entries held."""
+def _gathered(make: Callable, merge: Callable, flush: Callable, most: int) -> Callable:
+    """A function for mapInArrow: ``make`` gives the entries of a batch, ``merge`` adds those of several up, and ``flush``
+    gives their rows, at the end and when adding up leaves more than half of ``most``."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -124,14 +125,29 @@ def _gathered(make: Callable, flush: Callable, most: int) -> Callable:
                 held.append(make(part))
                 size += len(held[-1][0])
                 if size >= most:
-                    yield from flush(held)
-                    held, size = [], 0
+                    held = [merge(held)]
+                    size = len(held[0][0])
+                    if 2 * size >= most:
+                        yield from flush(*held[0])
+                        held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from flush(*merge(held))
 
     return run
 
 
+def _added(keys: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys (columns, the first of which is a hash of all) in the order of the first, equal ones with their counts added up."""
+    order, new = np.argsort(keys[0], kind="stable"), np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    out = []
+    for x in keys:
+        out.append(x[order])
+        new[1:] |= out[-1][1:] != out[-1][:-1]
+    begins = np.flatnonzero(new)
+    return [x[begins] for x in out], np.add.reduceat(times[order], begins) if len(begins) else times[:0]
+
+
 def _by(batches, key: list[str], begin: Callable, add: Callable, end: Callable) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ``key``: ``begin`` a group's state, ``add`` each of its rows to it, ``end`` it."""
     now, state = None, None
@@ -159,17 +175,20 @@ def _level(scratch: Scratch, texts: DataFrame, level: int, bitmaps: list, attemp
     def make(batch: pa.RecordBatch) -> tuple:
         phrases = Phrases(batch, attempt)
         at = phrases.frequent([b.value for b in bitmaps], level)
-        count = np.diff(phrases.words.first) if level == 1 else []
-        return gram(*(phrases.hashes[at + j] for j in range(level))), phrases.langs, count
+        n: dict[str, int] = {}
+        if level == 1:
+            for lang, k in zip(phrases.langs, np.diff(phrases.words.first).tolist(), strict=True):
+                n[lang] = n.get(lang, 0) + k
+        return *np.unique(gram(*(phrases.hashes[at + j] for j in range(level))), return_counts=True), n
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        values, times = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
+    def merge(held: list) -> tuple:
+        (values,), times = _added([np.concatenate([x[0] for x in held])], np.concatenate([x[1] for x in held]))
+        n = {lang: sum(x[2].get(lang, 0) for x in held) for x in held for lang in x[2]}
+        return values, times, n
+
+    def flush(values: np.ndarray, times: np.ndarray, n: dict[str, int]) -> Iterator[pa.RecordBatch]:
         shard, low = (values >> np.uint64(64 - shards)).astype(np.int32), ((values >> low_at) & np.uint64(2**32 - 1)).astype(np.uint32)
         parts = _runs(shard)
-        n: dict[str, int] = {}
-        for _, langs, count in held:
-            for lang, k in zip(langs, count, strict=False):
-                n[lang] = n.get(lang, 0) + int(k)
         columns = [
             pa.array([int(shard[a]) for a, _ in parts] + [-1] * len(n), pa.int32()),
             pa.array([low[a:b].tobytes() for a, b in parts] + [None] * len(n), pa.binary()),
@@ -179,7 +198,7 @@ def _level(scratch: Scratch, texts: DataFrame, level: int, bitmaps: list, attemp
         ]
         yield pa.record_batch(columns, ["shard", "low", "times", "lang", "n"])
 
-    counted = scratch.write(texts.mapInArrow(_gathered(make, flush, most), "shard int, low binary, times binary, lang string, n long"), f"level-{level}")
+    counted = scratch.write(texts.mapInArrow(_gathered(make, merge, flush, most), "shard int, low binary, times binary, lang string, n long"), f"level-{level}")
 
     def summed(state: dict) -> None:
         low, at = np.unique(np.concatenate(state["low"]), return_inverse=True)
@@ -233,25 +252,22 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
                 clash = bool((other[first[which]] != other).any())
                 names = pa.table([pa.array(phrases.langs).take(pa.array(phrases.words.row[at[first]])), pa.array(values), phrases.text(at[first])], ["lang", "w", "word"])
         keys = [np.concatenate(x) for x in keys]
-        return keys[0], keys, names, clash
-
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        names, clash = pa.concat_tables([x[2] for x in held]).combine_chunks(), any(x[3] for x in held)
-        columns = [np.concatenate([x[1][i] for x in held]) for i in range(4)]
-        held.clear()
-        order, new = np.argsort(columns[0], kind="stable"), np.zeros(len(columns[0]), bool)
-        new[:1] = True
-        for i in range(4):
-            columns[i] = columns[i][order]
-            new[1:] |= columns[i][1:] != columns[i][:-1]
-        begins = np.flatnonzero(new)
-        times, keys = np.diff(begins, append=len(new)).astype(np.uint32), np.stack([x[begins] for x in columns])
+        keys, times = _added(keys, np.ones(len(keys[0]), np.int64))
+        return keys[0], keys, times, names, clash
+
+    def merge(held: list) -> tuple:
+        keys, times = _added([np.concatenate([x[1][i] for x in held]) for i in range(4)], np.concatenate([x[2] for x in held]))
+        names, clash = pa.concat_tables([x[3] for x in held]).combine_chunks(), any(x[4] for x in held)
+        _, first, which = np.unique(names["w"].to_numpy(), return_index=True, return_inverse=True)
+        clash |= any(not names[c].take(pa.array(first[which])).equals(names[c]) for c in ("lang", "word"))
+        return keys[0], keys, times, names.take(pa.array(first)).combine_chunks(), clash
+
+    def flush(_, keys: list[np.ndarray], times: np.ndarray, names: pa.Table, clash: bool) -> Iterator[pa.RecordBatch]:
+        keys, times = np.stack(keys), times.astype(np.uint32)
         shard, part = _shard(keys[0], shards), TaskContext.get().partitionId() % parts
         runs = [(i, min(i + BLOB, b)) for a, b in _runs(shard) for i in range(a, b, BLOB)]
 
-        _, first, which = np.unique(names["w"].to_numpy(), return_index=True, return_inverse=True)
-        clash |= not names["word"].take(pa.array(first[which])).equals(names["word"])
-        names = names.take(pa.array(first)).sort_by("lang")
+        names = names.sort_by("lang")
         lang, ends = names["lang"].to_pylist(), [0]
         for k in range(1, len(lang) + 1):
             if k == len(lang) or lang[k] != lang[k - 1]:
@@ -270,7 +286,7 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
         ]
         yield pa.record_batch(columns, ["shard", "part", "keys", "times", "lang", "ws", "words", "clash"])
 
-    return texts.mapInArrow(_gathered(make, flush, most), "shard int, part int, keys binary, times binary, lang string, ws array<long>, words array<string>, clash boolean")
+    return texts.mapInArrow(_gathered(make, merge, flush, most), "shard int, part int, keys binary, times binary, lang string, ws array<long>, words array<string>, clash boolean")
 
 
 def _tables(keys: DataFrame, n_tasks: int) -> DataFrame:
@@ -418,7 +434,7 @@ def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP
             candidates += found
         shards = max(0, (-(-candidates // keys_a_shard) - 1).bit_length())
         parts = max(1, min(FAN * FAN, n_tasks >> shards))
-        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held // 4), "occurrences")
+        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held // 2), "occurrences")
         for b in bitmaps:
             b.unpersist()
         keys = occurrences.where("keys is not null")
