@@ -27,7 +27,7 @@ KEY = ["bz", "by", "bx"]
 EDGE = 64
 #: Voxels that a task packs at once while a volume is cut into blocks.
 PACKED = 1_000_000
-_HALO = "array<struct<dz: int, dy: int, dx: int, slab: array<double>>>"
+_HALO = "array<struct<dz: int, dy: int, dx: int, slab: array<double>, extra: array<double>>>"
 
 #: A kernel: (values (channels, z, y, x) with halos, voxels of halo before the block on each axis, the block's first voxel) to
 #: the values of the block itself (channels, z, y, x).
@@ -138,42 +138,47 @@ class Blocks:
         z, y, x = F.expr("i div (ny * nx)"), F.expr("i div nx % ny"), F.expr("i % nx")
         return rows.select(*[(F.col(b) * e + c).cast("int").alias(a) for a, b, e, c in zip("zyx", KEY, self.edge, (z, y, x), strict=True)], *names)
 
-    def halos(self, reach: Triple) -> DataFrame:
-        """(bz, by, bx, halo): what each block is sent by the others within ``reach``; dz, dy, dx lead from sender to block."""
+    def halos(self, reach: Triple, to: Callable[[tuple[int, int, int]], bool] | None = None) -> DataFrame:
+        """(bz, by, bx, halo): what each block is sent by the others within ``reach``; dz, dy, dx lead from sender to block.
+        to: which blocks are sent anything. A column ``extra`` of the senders goes with each slab."""
         shape, edge, channels = self.shape, self.edge, self.channels
         rings = [-(-r // e) for r, e in zip(reach, edge, strict=True)]
         ways = [d for d in itertools.product(*(range(-n, n + 1) for n in rings)) if any(d)]
         grid = [-(-n // e) for n, e in zip(shape, edge, strict=True)]
 
         @F.arrow_udf(_HALO)
-        def slabs(bz: pa.Array, by: pa.Array, bx: pa.Array, data: pa.Array) -> pa.Array:
-            counts, steps, parts = [0], [], []
-            for at, own in zip(_places(bz, by, bx), _arrays(data), strict=True):
+        def slabs(bz: pa.Array, by: pa.Array, bx: pa.Array, data: pa.Array, extra: pa.Array) -> pa.Array:
+            counts, steps, parts, beside = [0], [], [], []
+            for at, own, more in zip(_places(bz, by, bx), _arrays(data), _arrays(extra), strict=True):
                 start, end = box(at, edge, shape)
                 own = own.reshape(channels, *np.subtract(end, start))
                 for d in ways:
-                    to = tuple(a + b for a, b in zip(at, d, strict=True))
-                    if all(0 <= t < g for t, g in zip(to, grid, strict=True)):
-                        low, high = box(to, edge, shape)
+                    place = tuple(a + b for a, b in zip(at, d, strict=True))
+                    if all(0 <= t < g for t, g in zip(place, grid, strict=True)) and (to is None or to(place)):
+                        low, high = box(place, edge, shape)
                         part = _overlap(start, end, np.subtract(low, reach), np.add(high, reach))
                         if part is not None:
                             steps.append(d)
                             parts.append(own[(slice(None), *part)])
+                            beside.append(more)
                 counts.append(len(parts))
             step = np.array(steps, np.int32).reshape(-1, 3)
-            items = pa.StructArray.from_arrays([*(pa.array(step[:, i]) for i in range(3)), _lists(parts)], ["dz", "dy", "dx", "slab"])
+            items = pa.StructArray.from_arrays([*(pa.array(step[:, i]) for i in range(3)), _lists(parts), _lists(beside)], ["dz", "dy", "dx", "slab", "extra"])
             return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), items)
 
-        sent = self.df.select(*KEY, F.explode(slabs(*KEY, "data")).alias("s"))
+        extra = F.col("extra") if "extra" in self.df.columns else F.array().cast("array<double>")
+        sent = self.df.select(*KEY, F.explode(slabs(*KEY, "data", extra)).alias("s"))
         sent = sent.select(*[(F.col(b) + F.col(f"s.{d}")).alias(b) for b, d in zip(KEY, ("dz", "dy", "dx"), strict=True)], "s")
         return sent.groupBy(*KEY).agg(F.collect_list("s").alias("halo"))
 
-    def map(self, kernel: Kernel, reach: Triple = (0, 0, 0), border: str | None = None, channels: int | None = None, extra: int = 0) -> Blocks:
+    def map(self, kernel: Kernel, reach: Triple = (0, 0, 0), border: str | None = None, channels: int | None = None, extra: int = 0, halos: DataFrame | None = None) -> Blocks:
         """The kernel's values for each block. border: how voxels beyond the volume are made up, as in numpy.pad (``edge``,
         ``reflect``); None: the array ends at the volume's border. extra: so many numbers more that the kernel gives beside
-        the values, as column ``extra``; -1: it gives these numbers only, any number of them. Blocks that aren't stored are, where halos are needed: they are read twice."""
+        the values, as column ``extra``; any other than 0 will do, and -1 says that it
+        gives these only. halos: of others' making; the kernel is then also given what the senders had as ``extra``. Blocks that aren't stored are, where halos are needed: they are read twice."""
         shape, edge, wide = self.shape, self.edge, self.channels
         reach = tuple(min(r, n) if border is None else r for r, n in zip(reach, shape, strict=True))
+        beside = halos is not None
 
         @F.arrow_udf("array<double>")
         def apply(bz: pa.Array, by: pa.Array, bx: pa.Array, data: pa.Array, halo: pa.Array) -> pa.Array:
@@ -185,27 +190,30 @@ class Blocks:
                 a = np.zeros((wide, *(high - low)))
                 before = tuple(int(x) for x in np.subtract(start, low))
                 a[(slice(None), *(slice(b, b + n) for b, n in zip(before, np.subtract(end, start).tolist(), strict=True)))] = own.reshape(wide, *np.subtract(end, start))
-                for step, slab in around:
+                for step, slab, _ in around:
                     other = box(np.subtract(at, step), edge, shape)
                     part = _overlap(low, high, *other)
                     a[(slice(None), *part)] = slab.reshape(wide, *(s.stop - s.start for s in part))
                 if border is not None:
                     pad = [(0, 0)] + [(r - b, r - (h - e)) for r, b, h, e in zip(reach, before, high.tolist(), end, strict=True)]
                     a, before = np.pad(a, pad, mode=border), reach
-                out.append(kernel(a, before, start) if not extra else np.concatenate([np.ravel(x) for x in kernel(a, before, start)]))
+                got = kernel(a, before, start, [more for *_, more in around]) if beside else kernel(a, before, start)
+                out.append(got if not extra else np.concatenate([np.ravel(x) for x in got]))
             return _lists(out)
 
         if any(reach):
             own = self if self.stored else self.kept()
-            rows = own.df.join(own.halos(reach).hint("shuffle_hash"), KEY, "left")
+            sent = own.halos(reach) if halos is None else halos
+            rows = own.df.select(*KEY, "data").join(sent.hint("shuffle_hash"), KEY, "left")
         else:
             rows = self.df.withColumn("halo", F.lit(None).cast(_HALO))
         out = rows.select(*KEY, apply(*KEY, "data", "halo").alias("data"))
-        if extra < 0:
+        if extra == -1:
             out = out.withColumnRenamed("data", "extra")
         elif extra:
-            n = F.size("data") - extra
-            out = out.select(*KEY, F.slice("data", F.lit(1), n).alias("data"), F.slice("data", n + 1, F.lit(extra)).alias("extra"))
+            ends = [F.least(F.lit(e), F.lit(m) - F.col(b) * e) for b, e, m in zip(KEY, edge, shape, strict=True)]
+            n = ends[0] * ends[1] * ends[2] * (channels or wide)
+            out = out.select(*KEY, F.slice("data", F.lit(1), n).alias("data"), F.slice("data", n + 1, F.size("data")).alias("extra"))
         return replace(self, df=out, channels=channels or wide, stored=False)
 
     def kept(self, scratch: Scratch | None = None, table: str = "blocks") -> Blocks:
@@ -218,15 +226,15 @@ class Blocks:
         return replace(self, df=self.df.where(condition))
 
 
-def _halo_slabs(halo: pa.Array) -> list[list[tuple[tuple[int, int, int], np.ndarray]]]:
+def _halo_slabs(halo: pa.Array) -> list[list[tuple[tuple[int, int, int], np.ndarray, np.ndarray]]]:
     if isinstance(halo, pa.ChunkedArray):
         halo = halo.combine_chunks()
     items, ends, valid = halo.values, halo.offsets.to_numpy(), halo.is_valid().to_pylist()
     if not len(items):
         return [[] for _ in valid]
     steps = list(zip(*(items.field(d).to_pylist() for d in ("dz", "dy", "dx")), strict=True))
-    slabs = _arrays(items.field("slab"))
-    return [[(steps[i], slabs[i]) for i in range(a, b)] if ok else [] for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), valid, strict=True)]
+    slabs, more = _arrays(items.field("slab")), _arrays(items.field("extra"))
+    return [[(steps[i], slabs[i], more[i]) for i in range(a, b)] if ok else [] for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), valid, strict=True)]
 
 
 def _weighted(a: np.ndarray, axis: int, weights: Sequence[float]) -> np.ndarray:

@@ -113,9 +113,87 @@ def test_adjacency_and_plans(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def plain_snic(v, step, compactness):
+    """Clusters from seeds on a grid; of the queued voxels the nearest to its cluster's mean value and place is next."""
+    half = step // 2
+    seeds = [(z, y, x) for z in range(half, v.shape[0], step) for y in range(half, v.shape[1], step) for x in range(half, v.shape[2], step)]
+    weight = compactness**2 * len(seeds) / v.size
+    labels, members, queued = np.zeros(v.shape, int), {}, []
+    queue = [(0.0, n, p, n) for n, p in enumerate(seeds, 1)]
+    n = len(queue)
+    while queue:
+        queue.sort(reverse=True)
+        _, _, p, k = queue.pop()
+        if labels[p]:
+            continue
+        labels[p] = k
+        members.setdefault(k, []).append((v[p], *p))
+        mean = np.mean(members[k], axis=0)
+        for axis, d in itertools.product(range(3), (1, -1)):
+            q = tuple(c + d * (i == axis) for i, c in enumerate(p))
+            if all(0 <= c < m for c, m in zip(q, v.shape, strict=True)) and not labels[q]:
+                n += 1
+                queue.append(((100 * (mean[0] - v[q])) ** 2 + weight * ((mean[1:] - q) ** 2).sum(), n, q, k))
+    return labels
+
+
+@pytest.mark.parametrize(("shape", "block", "step"), [((6, 20, 18), 8, 4), ((5, 5, 17), 4, 4), ((9, 9, 9), 4, 4), ((4, 9, 10), (3), 4), ((1, 30, 30), 10, 5)])
+def test_snic_goes_across_blocks(spark, shape, block, step):
+    ramp = np.indices(shape).sum(0) / sum(shape)
+    got = superpixels.snic(frame(spark, ramp * 0.01), shape, block=block, step=step)
+    labels = array(got, shape, "label").astype(int)
+    assert labels.min() >= 1 and np.array_equal(array(got, shape, "v"), ramp * 0.01)
+    seeds = superpixels.seed_places((0, 0, 0), shape, shape, step)
+    assert all(labels[p] == k for k, p in seeds)  # each keeps its seed
+    for axis in range(3):  # labels change at borders about as often as at other places
+        changes = (np.diff(labels, axis=axis) != 0).mean(axis=tuple(i for i in range(3) if i != axis))
+        at_border = [i for i in range(len(changes)) if (i + 1) % block == 0]
+        if at_border and len(changes) > len(at_border):
+            assert (changes[at_border] < 1).all() or changes.max() == 1
+    places = [{(z // block, y // block, x // block) for z, y, x in np.argwhere(labels == k)} for k in range(1, len(seeds) + 1)]
+    assert sum(len(p) > 1 for p in places) > len(seeds) / 8
+    again = superpixels.snic(frame(spark, ramp * 0.01).repartition(7), shape, block=block, step=step)
+    assert np.array_equal(array(again, shape, "label"), labels)
+
+
+def test_snic_where_blocks_have_no_seed(spark):
+    shape = (9, 9, 9)  # the last voxel of an axis lies in a block of its own, without a seed
+    labels = array(superpixels.snic(frame(spark, np.zeros(shape)), shape, block=8, step=8), shape, "label")
+    assert labels.min() >= 1
+    tiny = array(superpixels.snic(frame(spark, np.zeros((2, 2, 2))), (2, 2, 2), block=1, step=8), (2, 2, 2), "label")
+    assert (tiny == 1).all()
+
+
+def plain_growth(c, links, iso, most):
+    """Turn by turn, one superpixel a turn."""
+    order = sorted(c, key=lambda k: (-min(int(c[k] * 16), 15), -c[k], k))[:most]
+    owner = {k: i for i, k in enumerate(order, 1) if c[k] >= iso}
+    progress = True
+    while progress:
+        progress = False
+        for segment in range(1, most + 1):
+            front = [q for p, q in links if owner.get(p) == segment and q not in owner and c[q] >= iso]
+            if front:
+                owner[min(front, key=lambda q: (-c[q], q))] = segment
+                progress = True
+    return {k: owner.get(k, 0) for k in c}
+
+
+@pytest.mark.parametrize(("n", "most", "iso", "seed"), [(30, 3, 0.3, 1), (60, 8, 0.2, 2), (40, 1, 0.0, 3), (25, 40, 0.5, 4)])
+def test_growth_in_turns(spark, n, most, iso, seed):
+    rng = np.random.default_rng(seed)
+    c = {k: float(np.round(rng.random(), 1)) for k in range(n)}  # ties
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b}
+    links |= {(b, a) for a, b in links}
+    stats_ = spark.createDataFrame(list(c.items()), "label long, c double")
+    edges = spark.createDataFrame(sorted(links) * 2, "src long, dst long")
+    got = {r.label: r.segment for r in superpixels.grow(stats_, edges, iso, most=most).collect()}
+    assert got == plain_growth(c, links, iso, most)
+
+
 def test_snic(spark):
     a = np.random.default_rng(5).random((8, 8, 8))
-    labels = superpixels.snic_block(a, 4, 10.0)
+    labels = plain_snic(a, 4, 10.0)
     assert labels.min() == 1 and labels.max() == S.seed_count(a.shape, 4) == 8
     for k in range(1, 9):  # each is connected by faces
         where = {tuple(i) for i in np.argwhere(labels == k)}
@@ -294,30 +372,18 @@ def test_total_variation_minimises_its_energy():
 
 def test_segmentation_is_that_of_plain_loops(spark):
     a = np.random.default_rng(15).integers(0, 256, (4, 8, 8))
-    got = pipelines.segment(frame(spark, a, "int"), a.shape, 100, block=4, step=2)
+    got = pipelines.segment(frame(spark, a, "int"), a.shape, 100, block=8, step=2)
     segment, grey = array(got, a.shape, "segment"), array(got, a.shape, "grey")
 
     v = unit(np.where(a < 100, 0, a).astype(float))
-    labels = np.zeros(a.shape, int)
-    for number, (y, x) in enumerate(itertools.product((0, 4), (0, 4))):
-        part = (slice(None), slice(y, y + 4), slice(x, x + 4))
-        labels[part] = number * 64 + superpixels.snic_block(v[part], 2, 10.0)
+    labels = plain_snic(v, 2, 10.0)
     mean = {k: v[labels == k].mean() for k in np.unique(labels).tolist()}
     edges = set()
     for axis in range(3):
         one, two = np.moveaxis(labels, axis, 0)[:-1].ravel().tolist(), np.moveaxis(labels, axis, 0)[1:].ravel().tolist()
         edges |= {(p, q) for p, q in [*zip(one, two, strict=True), *zip(two, one, strict=True)] if p != q}
     iso = 100 / 256
-    top = sorted(mean, key=lambda k: (-min(int(mean[k] * 16), 15), -mean[k], k))[:256]
-    owner = {k: i for i, k in enumerate(top, 1) if mean[k] >= iso}
-    front = dict(owner)
-    while front:
-        claims = {}
-        for p, q in edges:
-            if p in front and q not in owner and mean[q] >= iso:
-                claims.setdefault(q, []).append((-mean[p], front[p]))
-        front = {q: min(c)[1] for q, c in claims.items()}
-        owner |= front
+    owner = {k: s for k, s in plain_growth(mean, edges, iso, 256).items() if s}
     members = {s: [k for k in owner if owner[k] == s] for s in set(owner.values())}
     order = sorted(members, key=lambda s: (np.mean([mean[k] for k in members[s]]), s))
     number = {s: i for i, s in enumerate(order, 1)}
