@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, partitions, slices
+from tessera.llm.common import Scratch, partitions, slices, trimmed
 from tessera.llm.hashing import Words, mix
 from tessera.llm.perfect import PerfectHash
 
@@ -165,7 +165,7 @@ def _by(batches, key: list[str], begin: Callable, add: Callable, end: Callable)
 
 
 def _grouped(df: DataFrame, n_tasks: int, key: list[str], begin: Callable, add: Callable, end: Callable, schema: str, *then: str) -> DataFrame:
-    return df.repartition(n_tasks, *key).sortWithinPartitions(*key, *then).mapInArrow(lambda batches: _by(batches, key, begin, add, end), schema)
+    return df.repartition(n_tasks, *key).sortWithinPartitions(*key, *then).mapInArrow(trimmed(lambda batches: _by(batches, key, begin, add, end)), schema)
 
 
 def _level(scratch: Scratch, texts: DataFrame, level: int, bitmaps: list, attempt: int, least: int, shards: int, most: int) -> tuple[np.ndarray, int, list]:
@@ -198,7 +198,7 @@ def _level(scratch: Scratch, texts: DataFrame, level: int, bitmaps: list, attemp
         ]
         yield pa.record_batch(columns, ["shard", "low", "times", "lang", "n"])
 
-    counted = scratch.write(texts.mapInArrow(_gathered(make, merge, flush, most), "shard int, low binary, times binary, lang string, n long"), f"level-{level}")
+    counted = scratch.write(texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "shard int, low binary, times binary, lang string, n long"), f"level-{level}")
 
     def summed(state: dict) -> None:
         low, at = np.unique(np.concatenate(state["low"]), return_inverse=True)
@@ -286,7 +286,7 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
         ]
         yield pa.record_batch(columns, ["shard", "part", "keys", "times", "lang", "ws", "words", "clash"])
 
-    return texts.mapInArrow(_gathered(make, merge, flush, most), "shard int, part int, keys binary, times binary, lang string, ws array<long>, words array<string>, clash boolean")
+    return texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "shard int, part int, keys binary, times binary, lang string, ws array<long>, words array<string>, clash boolean")
 
 
 def _tables(keys: DataFrame, n_tasks: int) -> DataFrame:

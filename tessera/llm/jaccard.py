@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import windows
-from tessera.llm.common import Scratch, bitmap, id_or_null, in_bitmap, keyed, map_batches, partitions
+from tessera.llm.common import Scratch, bitmap, id_or_null, in_bitmap, keyed, map_batches, partitions, trimmed
 from tessera.operators.components import components
 from tessera.llm.hashing import Words, grams_of_words, mix
 
@@ -286,6 +286,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         wanted = scratch.write(wanted, f"wanted-{looked_up}")
         bits = spark.sparkContext.broadcast(bitmap(scratch, wanted.select(F.xxhash64("did", "th")), f"bits-{looked_up}"))
 
+        bitmaps.append(bits)
+
         @F.arrow_udf("boolean")
         def maybe(h: pa.Array) -> pa.Array:
             return pa.array(in_bitmap(bits.value, h.to_numpy()))
@@ -293,7 +295,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         texts = rows.where(maybe(F.xxhash64("did", "th"))).join(wanted.hint("shuffle_hash"), ["did", "th"]).select("digest", "text")
         return map_batches(texts, sets, "digest binary, set binary").groupBy("digest").agg(F.first("set").alias("set"))
 
-    looked_up = 0
+    looked_up, bitmaps = 0, []
     leaves, split = [], None  # split: the n-grams of the sets that were in a node too large for a leaf
 
     def descend(level: DataFrame, run: int) -> int:
@@ -334,10 +336,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     schema = "node long, pi long, pj long, block long, digest binary, rep long, members long, sig binary, n long, keys array<long>"
     spread = spread.select("node", "p.pi", "p.pj", "block", "digest", "rep", "members", "sig", "n", "keys")
     order = ["node", "pi", "pj"]
-    short = scratch.write(spread.repartition(n_tasks, *order).sortWithinPartitions(*order).mapInArrow(_shortlist(similarity), schema), "shortlist")
+    short = scratch.write(spread.repartition(n_tasks, *order).sortWithinPartitions(*order).mapInArrow(trimmed(_shortlist(similarity)), schema), "shortlist")
 
     verify = short.join(sets_of(short), "digest").repartition(n_tasks, *order).sortWithinPartitions(*order)
-    links = scratch.write(verify.mapInArrow(_verify(similarity), "digest binary, a long, b long, links long"), "links")
+    links = scratch.write(verify.mapInArrow(trimmed(_verify(similarity)), "digest binary, a long, b long, links long"), "links")
+
+    for bits in bitmaps:
+        bits.unpersist()
 
     groups = components(links.select("a", "b")).withColumnRenamed("id", "rep")
     counts = links.groupBy("digest").agg(F.sum("links").alias("links"))
