@@ -40,6 +40,8 @@ LONG_WORD = 64
 BATCH = 500_000
 #: Keys of a row of the table of candidates: some 256 kB.
 BLOB = 8192
+#: Such rows that are handed over at once.
+ROWS = 8
 ATTEMPTS = 8
 
 _SPLIT = np.zeros(256, bool)  # ends a piece
@@ -284,7 +286,8 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
             lists(names["word"]),
             pa.array([clash] * (k + m), pa.bool_()),
         ]
-        yield pa.record_batch(columns, ["shard", "part", "keys", "times", "lang", "ws", "words", "clash"])
+        rows = pa.record_batch(columns, ["shard", "part", "keys", "times", "lang", "ws", "words", "clash"])
+        yield from (rows.slice(i, ROWS) for i in range(0, rows.num_rows, ROWS))
 
     return texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "shard int, part int, keys binary, times binary, lang string, ws array<long>, words array<string>, clash boolean")
 
