@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,9 +141,10 @@ def world_to_voxel(spark, sf):
     return volume.points(spark, sf).select("pid", S.world_to_voxel(F.col("z"), 1.0, 4.0, 16).alias("z"), S.world_to_voxel(F.col("y"), 0.0, 6.0, 16).alias("y"))
 
 
-@query("select i, cast(i // 12 - 1 as int) as dz, cast(i // 4 % 3 - 1 as int) as dy, cast(i % 4 - 2 as int) as dx from (select unnest(range(24)) as i)")
+@query("select o_orderkey, cast(o_orderkey % 24 // 12 - 1 as int) as dz, cast(o_orderkey % 24 // 4 % 3 - 1 as int) as dy, cast(o_orderkey % 4 - 2 as int) as dx from orders")
 def index_to_offset(spark, sf):
-    return spark.range(24).select(F.col("id").alias("i"), S.tap_offset(F.col("id"), (2, 3, 4)).alias("o")).select("i", "o.dz", "o.dy", "o.dx")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return orders.select("o_orderkey", S.tap_offset(F.col("o_orderkey") % 24, (2, 3, 4)).alias("o")).select("o_orderkey", "o.dz", "o.dy", "o.dx")
 
 
 @query(f"select z, y, x, cast((z * {D} + y) * {D} + x as bigint) as c, cast((x * {D} + y) * {D} + z as bigint) as f, x as tz, z as ty, y as tx from {VOL}")
@@ -153,7 +155,6 @@ def transpose_linear(spark, sf):
 # --- dimensions, names, sets
 
 SCANS = [(1, "/volumes/one", ["20240101120000", "20240102120000"]), (2, "/volumes/two", ["20240201120000"]), (3, "/volumes/three", []), (4, "/volumes/four", ["20240401120000", "20240402120000", "20240403120000"])]
-FILES = ["b.tif", "a.tiff", "c.tif", "a.tif", "z.tiff", "m.tiff", "10.tif", "2.tif"]
 _SCANS = "(values " + ", ".join(f"({i}, '{p}', {t}::varchar[])" for i, p, t in SCANS) + ") s(scroll, path, stamps)"
 
 
@@ -161,9 +162,12 @@ def scans(spark):
     return spark.createDataFrame(SCANS, "scroll int, path string, stamps array<string>")
 
 
-@query(f"select scroll, path, unnest(stamps) as stamp from {_SCANS}")
+@query("select r_regionkey as scroll, '/volumes/' || lower(r_name) as path, n_name as stamp from region join nation on n_regionkey = r_regionkey")
 def scroll_dim(spark, sf):
-    return scans(spark).select("scroll", "path", F.explode("stamps").alias("stamp"))
+    nation = spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("stamps"))
+    region = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("scroll"), F.concat(F.lit("/volumes/"), F.lower("r_name")).alias("path"))
+    dim = region.join(nation, region.scroll == nation.n_regionkey)
+    return dim.select("scroll", "path", F.explode("stamps").alias("stamp"))
 
 
 @query(
@@ -178,9 +182,13 @@ def cell_urls(spark, sf):
     return rows.select("o_orderkey", S.cache_path(url, "").alias("url"))
 
 
-@query("select name, cast(row_number() over (order by case when name like '%.tiff' then 0 else 1 end, name) - 1 as int) as z from (values " + ", ".join(f"('{f}')" for f in FILES) + ") f(name)")
+_PARTS = "(select p_brand || '-' || p_partkey || case when p_size % 3 = 0 then '.tiff' else '.tif' end as name from part)"
+
+
+@query(f"select name, cast(row_number() over (order by case when name like '%.tiff' then 0 else 1 end, name) - 1 as int) as z from {_PARTS}")
 def stack_union(spark, sf):
-    names = [spark.createDataFrame([(f,) for f in FILES if f.endswith(e)], "name string") for e in (".tiff", ".tif")]
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    names = [part.where(which).select(F.concat_ws("-", "p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit(end))).alias("name")) for which, end in (("p_size % 3 = 0", ".tiff"), ("p_size % 3 <> 0", ".tif"))]
     return volume.stack(names[0].unionByName(names[1]))
 
 
@@ -443,13 +451,95 @@ def radius_points(spark, sf):
     return spatial.within(p, p.where("pid % 50 = 0"), 10.0).withColumn("dist", r6("dist"))
 
 
+# --- blocks: a cube whose edge follows the rows of lineitem (30 at scale 0.01, 64 at 0.1)
+
+
+PER_VOXEL = 0.4368
+_EDGE = f"(select cast(ceil(cbrt(count(*) * {PER_VOXEL})) as int) as n from lineitem)"
+CUBE = f"""(with e as {_EDGE}, ax as (select cast(unnest(range(n)) as int) as i from e)
+        select a.i as z, b.i as y, c.i as x, coalesce(r.v, 0) as v, n from e cross join ax a cross join ax b cross join ax c
+        left join (select l_orderkey % n as z, l_partkey % n as y, l_suppkey % n as x, cast(sum(l_quantity) as bigint) % 256 as v from lineitem, e group by 1, 2, 3) r
+        on r.z = a.i and r.y = b.i and r.x = c.i)"""
+
+
+def cube(spark, sf):
+    """(volume, shape)"""
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    edge = math.ceil(math.cbrt(n * PER_VOXEL))
+    return volume.from_lineitem(spark, sf, edge), (edge,) * 3
+
+
+BLOCK = 16
+
+
+def _cube_gauss(sigma: float) -> str:
+    w = stencil.gaussian_weights(sigma)
+    taps = "(values " + ", ".join(f"({k - len(w) // 2}, {x!r}::double)" for k, x in enumerate(w)) + ") o(d, w)"
+    out = "cube"
+    for axis in "zyx":
+        on = " and ".join(f"q.{c} = " + (f"least(greatest(a.{c} + o.d, 0), a.n - 1)" if c == axis else f"a.{c}") for c in "zyx")
+        out = f"(select a.z as z, a.y as y, a.x as x, sum(q.v * o.w) as v from cube a cross join {taps} join {out} q on {on} group by 1, 2, 3)"
+    return out
+
+
+@query(f"with cube as materialized {CUBE} select z, y, x, round(v, 5) as v from {_cube_gauss(1.0)}")
+def blocks_gaussian(spark, sf):
+    vol, shape = cube(spark, sf)
+    return stencil.gaussian(vol, shape, 1.0, BLOCK).withColumn("v", F.round("v", 5))
+
+
+@query(f"with cube as materialized {CUBE} select a.z as z, a.y as y, a.x as x, round(least(255.0, greatest(0.0, a.v + 2.0 * (a.v - g.v))), 5) as v from cube a join {_cube_gauss(1.5)} g on a.z = g.z and a.y = g.y and a.x = g.x")
+def blocks_unsharp(spark, sf):
+    vol, shape = cube(spark, sf)
+    return stencil.unsharp(vol, shape, 1.5, 2.0, 0.0, 255.0, BLOCK).withColumn("v", F.round("v", 5))
+
+
+_CORNERS = "(values (-1, -1, 2), (-1, 1, 2), (1, -1, 2), (1, 1, 2), (0, 0, -8)) o(b, c, w)"
+_MIRROR = "case when a.{0} + o.{1} < 0 then 1 when a.{0} + o.{1} >= a.n then a.n - 2 else a.{0} + o.{1} end"
+
+
+@query(f"with cube as materialized {CUBE} select a.z as z, a.y as y, a.x as x, cast(sum(q.v * o.w) as double) as v from cube a cross join {_CORNERS} join cube q on q.z = a.z and q.y = {_MIRROR.format('y', 'b')} and q.x = {_MIRROR.format('x', 'c')} group by 1, 2, 3")
+def blocks_laplacian(spark, sf):
+    vol, shape = cube(spark, sf)
+    return stencil.laplacian(vol, shape, BLOCK)
+
+
+CUBE_ISO = 110
+
+
+_STEPS = "(select a.i as dz, b.i as dy, c.i as dx from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i), (values (-1), (0), (1)) c(i))"
+
+
+@query(f"""with recursive cube as materialized {CUBE},
+    pix as materialized (select cast((z * n + y) * n + x as bigint) as id, z, y, x from cube where v > {CUBE_ISO}),
+    edge as materialized (select a.id as a, b.id as b from (select id, z + dz as z, y + dy as y, x + dx as x from pix, {_STEPS}) a join pix b on b.z = a.z and b.y = a.y and b.x = a.x),
+    reach as (select a as id, a as r from edge union select reach.id, edge.b from reach join edge on reach.r = edge.a)
+    select p.z as z, p.y as y, p.x as x, min(r) as component from reach join pix p on p.id = reach.id group by 1, 2, 3""")
+def blocks_components(spark, sf):
+    vol, shape = cube(spark, sf)
+    return neighbours.label_components(vol, shape, CUBE_ISO, BLOCK)
+
+
+@query()
+def tv_tiles(spark, sf):
+    vol, shape = cube(spark, sf)
+    return stencil.tv_denoise(stats.rescale(vol), shape, tile=BLOCK).withColumn("v", r6("v"))
+
+
+@query()
+def snic_blocks(spark, sf):
+    vol, shape = cube(spark, sf)
+    return superpixels.snic(stats.rescale(vol), shape, block=BLOCK, step=8).select("z", "y", "x", "label")
+
+
 # --- superpixels and segments
 
 
-@query("select " + str(S.seed_count(SHAPE, CELL)) + " as n")
+@query(f"select cast(ceil((max(vec_id) + 1 - {CELL // 2}) / {CELL}.0) * {S.seed_count((CELL, 8, 8), CELL)} as bigint) as n from embeddings")
 def snic_seed_count(spark, sf):
     half = CELL // 2
-    return spark.range(D**3).where(f"id % {D} >= {half} and (id % {D} - {half}) % {CELL} = 0 and id div {D} % {D} >= {half} and (id div {D} % {D} - {half}) % {CELL} = 0 and id div {D * D} >= {half} and (id div {D * D} - {half}) % {CELL} = 0").agg(F.count("*").cast("int").alias("n"))
+    on_grid = " and ".join(f"{a} >= {half} and ({a} - {half}) % {CELL} = 0" for a in "zyx")
+    return volume.from_embeddings(spark, sf).where(on_grid).agg(F.count("*").alias("n"))
 
 
 @query(f"select label, round(avg(z), 6) as z, round(avg(y), 6) as y, round(avg(x), 6) as x, round(avg(v / 255.0), 6) as c, count(*) as n, count(*) filter (v <= 80) as nlow, count(*) filter (v > 80 and v <= 160) as nmid, count(*) filter (v > 160) as nhig from {CELLS} group by 1")
