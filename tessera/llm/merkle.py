@@ -1,14 +1,17 @@
 """Merkle-tree fingerprints of documents.
 
-Root: sections, cut where a blank line begins. Section: its paragraphs (lines), the leaves. A section's digest and the
-root cover their children's digests in order, so equal roots mean equal texts, and two trees are compared from the root
-down: only branches whose digests differ are entered. In paragraphs that differ, the words at both ends are compared; what
-is left is where the texts were edited.
+Root: sections. Section: its paragraphs, the leaves. A paragraph is a line; a long line is several, each of which ends
+after a word that its hash picks. A section ends before a blank line and after a paragraph that its digest picks. So the
+content alone decides where branches begin, texts of any layout have several, and an edit changes the branches that it
+lies in and no others. A section's digest and the root cover their children's digests in order, so equal roots mean equal
+texts, and two trees are compared from the root down: only branches whose digests differ are entered. In paragraphs that
+differ, the words at both ends are compared; what is left is where the texts were edited.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
@@ -26,21 +29,34 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+#: Words of a line that is one paragraph at most; words of a paragraph of a longer line, and paragraphs of a section, on average.
+LINE, WORDS, PARAGRAPHS = 48, 32, 8
+
+
 @dataclass(frozen=True, eq=False)
 class Paragraph:
     text: str
     start: int  # in the document's characters
-    digest: bytes
+    digest: bytes  # of the text and of what ends it, a line's end or a space
 
     @property
     def weight(self) -> int:
         return len(self.text) + 1
 
     @cached_property
-    def leaves(self) -> list[str]:
+    def words(self) -> list[str]:
         return self.text.split(" ")
 
 
+def pieces(line: str) -> list[str]:
+    """The paragraphs of a line: joined by spaces they are the line."""
+    if line.count(" ") < LINE:
+        return [line]
+    words = line.split(" ")
+    ends = [i for i, w in enumerate(words, 1) if zlib.crc32(w.encode()) % WORDS == 0 and i < len(words)]
+    return [" ".join(words[a:b]) for a, b in zip([0, *ends], [*ends, len(words)], strict=True)]
+
+
 @dataclass(frozen=True, eq=False)
 class Section:
     paragraphs: list[Paragraph]
@@ -54,21 +70,24 @@ class Section:
 class Tree:
     def __init__(self, text: str):
         groups: list[list[Paragraph]] = [[]]
-        at = 0
+        at, full = 0, False
         for line in text.split("\n"):
-            if not line.strip() and groups[-1]:
+            if groups[-1] and (full or not line.strip()):
                 groups.append([])
-            groups[-1].append(Paragraph(line, at, _digest(line.encode())))
-            at += len(line) + 1
+                full = False
+            parts = pieces(line)
+            for i, part in enumerate(parts):
+                if full:
+                    groups.append([])
+                own = Paragraph(part, at, _digest(part.encode() + (b" " if i + 1 < len(parts) else b"\n")))
+                groups[-1].append(own)
+                at += len(part) + 1
+                full = own.digest[0] % PARAGRAPHS == 0
         self.sections = [Section(g, _digest(b"".join(p.digest for p in g))) for g in groups]
         self.weight = at
         self.root = hashlib.sha256(b"".join(s.digest for s in self.sections)).hexdigest()
 
 
-def _leaf(word: str) -> bytes:
-    return hashlib.blake2b(word.encode(), digest_size=8).digest()
-
-
 def _unmatched(a: list, b: list) -> tuple[list, list, int]:
     """Nodes of a and b without an equal digest on the other side, in order, and the weight of the others."""
     common = Counter(x.digest for x in a) & Counter(x.digest for x in b)
@@ -87,13 +106,13 @@ def _unmatched(a: list, b: list) -> tuple[list, list, int]:
 
 
 def _same_ends(a: list[str], b: list[str]) -> tuple[int, int]:
-    """Equal leaves at the front and, beyond those, at the back."""
+    """Equal words at the front and, beyond those, at the back."""
     n = min(len(a), len(b))
     front = 0
-    while front < n and _leaf(a[front]) == _leaf(b[front]):
+    while front < n and a[front] == b[front]:
         front += 1
     back = 0
-    while back < n - front and _leaf(a[-1 - back]) == _leaf(b[-1 - back]):
+    while back < n - front and a[-1 - back] == b[-1 - back]:
         back += 1
     return front, back
 
@@ -107,8 +126,8 @@ def compare(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]]]:
     shared += more
     spans = [(p.start, p.start + len(p.text)) for p in left[len(right) :]]
     for p, q in zip(left, right, strict=False):
-        front, back = _same_ends(p.leaves, q.leaves)
-        begin, end = sum(len(x) + 1 for x in p.leaves[:front]), sum(len(x) + 1 for x in p.leaves[len(p.leaves) - back :])
+        front, back = _same_ends(p.words, q.words)
+        begin, end = sum(len(x) + 1 for x in p.words[:front]), sum(len(x) + 1 for x in p.words[len(p.words) - back :])
         shared += min(begin + end, p.weight)
         begin = min(begin, len(p.text))
         spans.append((p.start + begin, p.start + max(begin, len(p.text) - end)))
