@@ -17,10 +17,12 @@ def with_range(vol: DataFrame) -> DataFrame:
     return vol.join(F.broadcast(vol.agg(F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))))
 
 
-def rescale(vol: DataFrame) -> DataFrame:
-    """(v - least) / (greatest - least); a constant volume becomes 0."""
+def rescale(vol: DataFrame, known: tuple[float, float] | None = None) -> DataFrame:
+    """(v - least) / (greatest - least); a constant volume becomes 0. known: the least and greatest value, if they are
+    known, such as those of a store; then the volume is read once."""
     v = F.when(F.col("high") == F.col("low"), F.lit(0.0)).otherwise(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")))
-    return with_range(vol).select("z", "y", "x", v.alias("v"))
+    ranged = with_range(vol) if known is None else vol.withColumns({"low": F.lit(known[0]), "high": F.lit(known[1])})
+    return ranged.select("z", "y", "x", v.alias("v"))
 
 
 def histogram(bins: DataFrame) -> DataFrame:

@@ -612,6 +612,13 @@ def volume_store(spark, sf):
     return store.chunk("v", (3, 1, 2), (8, 5, 14))
 
 
+@query(f"select z, y, x, round((v - (select min(v) from {VOL})) / (select cast(max(v) - min(v) as double) from {VOL}), 6) as v from {VOL}")
+def rescale_stored(spark, sf):
+    store = volume.VolumeStore(spark, Scratch(spark, "store").root, SHAPE, block=4)
+    store.create(vol(spark, sf), "v")
+    return stats.rescale(store.read("v"), store.range("v")).withColumn("v", r6("v"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Scan, cut, downscale, rescale and count the levels of a volume."""
     part = volume.cuboid(volume.from_lineitem(spark, sf, 8), (0, 0, 0), (8, 8, 8), (8, 8, 8))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import to_byte
@@ -59,11 +60,30 @@ class VolumeStore:
     block: int = BLOCK
 
     def create(self, vol: DataFrame, volume_id: str) -> None:
-        """Write a new volume; one that is there raises."""
-        self._blocks(vol).write.mode("errorifexists").partitionBy("bz").parquet(f"{self.path}/volume_id={volume_id}")
+        """Write a new volume; one that is there raises. Its range is gathered on the way and kept beside it."""
+        seen = Observation()
+        blocks = self._blocks(vol).observe(seen, F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
+        blocks.write.mode("errorifexists").partitionBy("bz").parquet(f"{self.path}/volume_id={volume_id}")
+        self._keep_range(volume_id, True, seen.get["low"], seen.get["high"])
+
+    def _keep_range(self, volume_id: str, known: bool, low: float | None, high: float | None) -> None:
+        one = self.spark.createDataFrame([(known, low, high)], "known boolean, low double, high double").coalesce(1)
+        one.write.mode("overwrite").parquet(f"{self.path}-ranges/volume_id={volume_id}")
+
+    def range(self, volume_id: str) -> tuple[float, float] | None:
+        """The least and greatest value: what was gathered while the volume was written; where blocks were replaced since,
+        or a volume has no such record, the volume is scanned. None if it has no values."""
+        try:
+            kept = self.spark.read.schema("known boolean, low double, high double").parquet(f"{self.path}-ranges/volume_id={volume_id}").first()
+        except AnalysisException:
+            kept = None
+        if kept is None or not kept.known:
+            kept = self.read(volume_id).agg(F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high")).first()
+        return None if kept.low is None else (kept.low, kept.high)
 
     def overwrite_blocks(self, vol: DataFrame, volume_id: str) -> None:
-        """Replace the blocks that hold the given slices; others stay."""
+        """Replace the blocks that hold the given slices; others stay. The range that was gathered no longer holds."""
+        self._keep_range(volume_id, False, None, None)
         self._blocks(vol).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bz").parquet(f"{self.path}/volume_id={volume_id}")
 
     def _blocks(self, vol: DataFrame) -> DataFrame:

@@ -251,6 +251,30 @@ def test_store_and_stream(spark, tmp_path):
     assert np.array_equal(array(store.read("w"), (2, 4, 4)), a[:2] & 0xF0)
 
 
+def test_range_is_gathered_while_writing(spark, tmp_path):
+    a = np.random.default_rng(17).integers(3, 200, (6, 4, 4))
+    vol = frame(spark, a, "int")
+    store = volume.VolumeStore(spark, str(tmp_path / "s"), a.shape, block=2)
+    store.create(vol, "v")
+    assert store.range("v") == (a.min(), a.max())
+    scaled = stats.rescale(store.read("v"), store.range("v"))
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan  # the volume is read once
+    assert np.allclose(array(scaled, a.shape), unit(a.astype(float)))
+    store.overwrite_blocks(vol.where("z < 2").withColumn("v", F.lit(1)), "v")
+    assert store.range("v") == (1, a[2:].max())  # scanned anew
+    store.create(vol.where("z < 0"), "none")
+    assert store.range("none") is None
+
+
+def test_repeated_voxels_of_a_batch(spark, tmp_path):
+    store = volume.VolumeStore(spark, str(tmp_path / "s"), (1, 1, 2), block=1)
+    rows = [(0, 0, 0, v, "u8") for v in (16, 240, 32)] + [(0, 0, 1, 48, "u8")]
+    spark.createDataFrame(rows, "z int, y int, x int, v int, kind string").repartition(4).write.parquet(str(tmp_path / "in"))
+    ingest_stream(spark, str(tmp_path / "in"), store, "w", str(tmp_path / "ck")).awaitTermination()
+    assert array(store.read("w"), (1, 1, 2)).ravel().tolist() == [240, 48]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 50), st.integers(1, 7), st.integers(1, 7))
 def test_padding(size, kernel, stride):
