@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,14 +55,88 @@ def gap_of(p: np.ndarray, lam: float) -> int:
     return max((int(np.ptp(used[t[used] == x])) for x in np.unique(t[used])), default=0)
 
 
-def best_blend(hist: DataFrame, steps: int = 40) -> float:
-    """A lambda with the narrowest gap, by golden-section search over 0..10; only 256 numbers leave the cluster."""
+#: The golden ratio, and how far beyond the last point a parabola may lead a bracket.
+GOLDEN, FARTHEST = (1 + 5**0.5) / 2, 110.0
+
+
+def bracket(f: Callable[[float], float], a: float = 0.0, b: float = 1.0) -> tuple[float, float, float]:
+    """Three places in a row of which the middle one is no higher than the others: downhill from a and b, by golden steps or
+    to where a parabola through the last three has its low."""
+    fa, fb = f(a), f(b)
+    if fa < fb:
+        a, b, fa, fb = b, a, fb, fa
+    c = b + GOLDEN * (b - a)
+    fc = f(c)
+    while fc < fb:
+        r, q = (b - a) * (fb - fc), (b - c) * (fb - fa)
+        below = 2 * (q - r if abs(q - r) > 1e-21 else 1e-21)
+        u, most = b - ((b - c) * q - (b - a) * r) / below, b + FARTHEST * (c - b)
+        if (u - c) * (b - u) > 0:  # between the last two
+            fu = f(u)
+            if fu < fc:
+                return b, u, c
+            if fu > fb:
+                return a, b, u
+            u = c + GOLDEN * (c - b)
+            fu = f(u)
+        elif (u - most) * (most - c) >= 0:
+            u, fu = most, f(most)
+        elif (u - most) * (c - u) > 0:  # beyond, and not too far
+            fu = f(u)
+            if fu < fc:
+                b, c, u = c, u, u + GOLDEN * (u - c)
+                fb, fc, fu = fc, fu, f(u)
+        else:
+            u = c + GOLDEN * (c - b)
+            fu = f(u)
+        a, b, c, fa, fb, fc = b, c, u, fb, fc, fu
+    return a, b, c
+
+
+def lowest(f: Callable[[float], float], tolerance: float = 1.48e-8, most: int = 500) -> float:
+    """A low of f by Brent's method: within a bracket, to the low of a parabola through the three best places, and by a
+    golden section where that leads nowhere."""
+    a, x, c = bracket(f)
+    low, high = min(a, c), max(a, c)
+    best = second = third = x
+    f_best = f_second = f_third = f(x)
+    step = before = 0.0
+    for _ in range(most):
+        near = tolerance * abs(best) + 1e-11
+        middle = (low + high) / 2
+        if abs(best - middle) < 2 * near - (high - low) / 2:
+            break
+        golden = True
+        if abs(before) > near:
+            r, q = (best - second) * (f_best - f_third), (best - third) * (f_best - f_second)
+            p, q = (best - third) * q - (best - second) * r, 2 * (q - r)
+            p, q = (-p, q) if q > 0 else (p, -q)
+            if low < best + (p / q if q else np.inf) < high and abs(p) < abs(q * before / 2):
+                before, step, golden = step, p / q, False
+                if best + step - low < 2 * near or high - best - step < 2 * near:
+                    step = near if best <= middle else -near
+        if golden:
+            before = (low if best >= middle else high) - best
+            step = (2 - GOLDEN) * before
+        u = best + (step if abs(step) >= near else near if step >= 0 else -near)
+        fu = f(u)
+        if fu > f_best:
+            low, high = (u, high) if u < best else (low, u)
+            if fu <= f_second or second == best:
+                second, third, f_second, f_third = u, second, fu, f_second
+            elif fu <= f_third or third in (best, second):
+                third, f_third = u, fu
+        else:
+            low, high = (best, high) if u >= best else (low, best)
+            best, second, third, f_best, f_second, f_third = u, best, second, fu, f_best, f_second
+    return best
+
+
+def best_blend(hist: DataFrame) -> float:
+    """The lambda at which Brent's method, from 0 and 1, ends on the gap; only 256 numbers leave the cluster. Lambdas of -1
+    and less, which mix nothing, count as no good."""
     p = np.array([r.p for r in hist.orderBy("bin").collect()])
-    low, high, ratio = 0.0, 10.0, (5**0.5 - 1) / 2
-    for _ in range(steps):
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        low, high = (low, b) if gap_of(p, a) <= gap_of(p, b) else (a, high)
-    return (low + high) / 2
+    return lowest(lambda lam: gap_of(p, lam) if lam > -1 else np.inf)
 
 
 def equalise(vol: DataFrame, lam: float | None) -> DataFrame:

@@ -287,6 +287,45 @@ def test_search_for_a_blend():
     assert stats.gap_of(p, 10.0) <= stats.gap_of(p, 0.0)
 
 
+def traced(f):
+    places = []
+    return places, lambda x: places.append(x) or f(x)
+
+
+def test_bracket_goes_downhill():
+    places, f = traced(lambda x: (x - 2) ** 2)
+    a, b, c = stats.bracket(f)
+    assert places[:3] == [0.0, 1.0, 1.0 + stats.GOLDEN] and places[3] == pytest.approx(2)  # the parabola's own low
+    assert len(places) == 4 and (a, b, c) == (1.0, places[3], 1.0 + stats.GOLDEN)
+    places, f = traced(lambda x: (x + 50) ** 4)  # the other way, and far off
+    a, b, c = stats.bracket(f)
+    assert places[:3] == [0.0, 1.0, -stats.GOLDEN] and f(b) <= min(f(a), f(c)) and (a - b) * (c - b) < 0
+    places, f = traced(lambda x: 7)  # flat: the first three will do
+    assert stats.bracket(f) == (1.0, 0.0, -stats.GOLDEN) or stats.bracket(f) == (0.0, 1.0, 1.0 + stats.GOLDEN)
+
+
+@pytest.mark.parametrize(
+    ("f", "low"),
+    [(lambda x: (x - 2) ** 2, 2.0), (lambda x: np.cosh(x + 1.25), -1.25), (lambda x: abs(x - 0.3) ** 1.5, 0.3), (lambda x: np.inf if x <= -1 else x - np.log1p(x), 0.0)],
+)
+def test_lowest(f, low):
+    places, g = traced(f)
+    assert stats.lowest(g) == pytest.approx(low, abs=1e-4) and len(places) < 60
+
+
+def test_lowest_of_steps():
+    """On a stepped function it ends, on the lowest place that it has seen."""
+    for step in (0.1, 0.5, 3.0):
+        places, f = traced(lambda x, step=step: np.floor(abs(x - 1.7) / step))
+        found = stats.lowest(f)
+        assert f(found) == min(map(f, list(places))) and len(places) < 200
+    p = np.random.default_rng(8).random(256) ** 4
+    p /= p.sum()
+    places, f = traced(lambda lam: stats.gap_of(p, lam) if lam > -1 else np.inf)
+    found = stats.lowest(f)
+    assert f(found) == min(f(x) for x in list(places)) <= stats.gap_of(p, 0.0)
+
+
 def unit(a):
     return (a - a.min()) / (a.max() - a.min()) if a.max() > a.min() else a * 0.0
 
