@@ -612,6 +612,15 @@ def volume_store(spark, sf):
     return store.chunk("v", (3, 1, 2), (8, 5, 14))
 
 
+@query(f"select z, y - 2 as y, x - 3 as x, cast(v as float) as v from {INK} where y >= 2 and y < 10 and x >= 3 and x < 11 and z < 10")
+def ink_store(spark, sf):
+    """A second volume, stored in the order y, x, z of its own; a cuboid of it is read and turned round."""
+    ink = volume.from_lineitem(spark, sf, D, "l_linenumber", 37)
+    store = volume.VolumeStore(spark, Scratch(spark, "store").root, SHAPE, block=4)
+    store.create(ink.select(F.col("y").alias("z"), F.col("x").alias("y"), F.col("z").alias("x"), "v"), "ink")
+    return volume.transposed(store.chunk("ink", (2, 3, 0), (8, 8, 10)), "yxz")
+
+
 @query(f"select z, y, x, round((v - (select min(v) from {VOL})) / (select cast(max(v) - min(v) as double) from {VOL}), 6) as v from {VOL}")
 def rescale_stored(spark, sf):
     store = volume.VolumeStore(spark, Scratch(spark, "store").root, SHAPE, block=4)

@@ -50,6 +50,13 @@ def cuboid(vol: DataFrame, start: Triple, size: Triple, shape: Triple | None = N
     return vol.select(*[(F.col(c) - a).alias(c) for c, a in zip("zyx", start, strict=True)], *[c for c in vol.columns if c not in ("z", "y", "x", "bz")])
 
 
+def transposed(vol: DataFrame, stored: str = "yxz") -> DataFrame:
+    """(z, y, x, v float) of a volume whose first, second and third coordinate (its z, y and x) are the axes ``stored``."""
+    if sorted(stored) != ["x", "y", "z"]:
+        raise ValueError(f"axes {stored} are not x, y and z")
+    return vol.select(*[F.col("zyx"[stored.index(a)]).alias(a) for a in "zyx"], F.col("v").cast("float").alias("v"))
+
+
 @dataclass(frozen=True)
 class VolumeStore:
     """Volumes of one shape in a folder: a directory per volume and block of z-slices."""

@@ -267,6 +267,15 @@ def test_range_is_gathered_while_writing(spark, tmp_path):
     assert store.range("none") is None
 
 
+@pytest.mark.parametrize("stored", ["yxz", "zyx", "xzy"])
+def test_transposed(spark, stored):
+    a = np.random.default_rng(18).integers(0, 255, (2, 3, 4))
+    own = np.transpose(a, ["zyx".index(c) for c in stored])  # its first axis is stored[0]
+    assert np.array_equal(array(volume.transposed(frame(spark, own, "int"), stored), a.shape), a)
+    with pytest.raises(ValueError, match="axes"):
+        volume.transposed(frame(spark, own, "int"), "zzy")
+
+
 def test_repeated_voxels_of_a_batch(spark, tmp_path):
     store = volume.VolumeStore(spark, str(tmp_path / "s"), (1, 1, 2), block=1)
     rows = [(0, 0, 0, v, "u8") for v in (16, 240, 32)] + [(0, 0, 1, 48, "u8")]
