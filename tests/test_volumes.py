@@ -401,8 +401,10 @@ def test_slice_etl(spark):
     s = np.clip(255 * (sharp - sharp.min()) / (sharp.max() - sharp.min() + 1e-8), 0, 255).astype(int)
     lam = stats.best_blend(spark.createDataFrame([(i, float(p)) for i, p in enumerate(np.bincount(s.ravel(), minlength=256) / s.size)], "bin int, p double"))
     even = brute_clahe(brute_contrast(sharp, lam), (2, 8, 8), 16, 0.16)
-    want = np.where(a == 0, 0, (unit(even) * 255).astype(int) & 0xF0)
-    assert (out == want).mean() > 0.98 and np.all(out[:, :2] == 0)  # rounding may move a voxel over a step
+    level = unit(even) * 255
+    want = np.where(a == 0, 0, level.astype(int) & 0xF0)
+    at_step = np.abs(level / 16 - np.round(level / 16)) < 1e-9
+    assert np.all((out == want) | at_step) and at_step.mean() < 0.1 and np.all(out[:, :2] == 0)
 
 
 def brute_gaussian(a, sigma):
@@ -420,7 +422,7 @@ def test_preprocess_is_that_of_numpy(spark):
     even = brute_clahe(unit(brute_gaussian(small, 2.0)), (3, 4, 5), 16, 0.16)
     assert shape == small.shape
     got = array(vol, shape)
-    assert np.isclose(got, unit(even) * 255, atol=1e-3).mean() > 0.98  # rounding may move a voxel to the next bin
+    assert np.allclose(got, unit(even) * 255, atol=1e-3)
 
 
 def test_total_variation_minimises_its_energy():
