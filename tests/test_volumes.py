@@ -228,6 +228,21 @@ def test_points(spark):
     assert spatial.within(df, df.where("pid = 3"), 6.0).count() == (((p - p[3]) ** 2).sum(1) <= 36).sum()
 
 
+def test_nearest_meets_few_points(spark):
+    """Many points at one place, and a dense heap: candidates follow k, and the answers are those of brute force."""
+    rng = np.random.default_rng(8)
+    p = np.concatenate([np.full((300, 3), 4.0), 7 + 2 * rng.random((600, 3)), 60 * rng.random((100, 3))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, z double, y double, x double")
+    asks = df.where("pid % 5 = 0")
+    got = {}
+    for r in spatial.nearest(df, asks, k=3, max_distance=10.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.pid, r.dist))
+    for q in range(0, 1000, 5):
+        d = ((p - p[q]) ** 2).sum(1)
+        assert got[q] == [(int(i), pytest.approx(np.sqrt(d[i]))) for i in np.lexsort((np.arange(1000), d)) if d[i] < 100][:3]
+    assert spatial._halvings(df, 3, 10.0) >= 2  # 900 points in two of the widest cells
+
+
 def test_store_and_stream(spark, tmp_path):
     a = np.random.default_rng(7).integers(0, 255, (6, 4, 4))
     vol = frame(spark, a, "int")
