@@ -241,6 +241,11 @@ def test_nearest_meets_few_points(spark):
         d = ((p - p[q]) ** 2).sum(1)
         assert got[q] == [(int(i), pytest.approx(np.sqrt(d[i]))) for i in np.lexsort((np.arange(1000), d)) if d[i] < 100][:3]
     assert spatial._halvings(df, 3, 10.0) >= 2  # 900 points in two of the widest cells
+    same = spark.range(3000).selectExpr("id as pid", "1 as z", "1 as y", "1 as x")
+    got = spatial.within(same, same.where("pid < 2"), 1.0)
+    assert got.count() == 6000 and got.distinct().count() == 6000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(pids") < plan.index("Join")  # ids are paired after the join of places
 
 
 def test_store_and_stream(spark, tmp_path):
