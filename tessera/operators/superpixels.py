@@ -131,11 +131,14 @@ def snic(vol: DataFrame, shape: Triple, block: int, step: int = 8, compactness:
     return replace(raw, df=everything.select(*KEY, "data")).voxels(("v", "label")).withColumn("label", F.col("label").cast("long"))
 
 
-def label_stats(labelled: DataFrame, lowmid: float = 80 / 255, midhigh: float = 160 / 255) -> DataFrame:
-    """(label, z, y, x, c, n, nlow, nmid, nhig): mean place and value, size, and voxels in three bands of value."""
-    v = F.col("v")
+def label_stats(labelled: DataFrame, lowmid: float = 80 / 255, midhigh: float = 160 / 255, full: int = 1) -> DataFrame:
+    """(label, z, y, x, c, n, nlow, nmid, nhig): mean place and value, size, and voxels in three bands of value.
+
+    full: the value that counts as 1. Whole numbers are added up as such and divided once, so that a mean is the double
+    nearest to the exact one in whatever order voxels come, and one at the border of two bins falls into the upper."""
+    v = F.col("v") / F.lit(float(full))
     return labelled.groupBy("label").agg(
-        *[F.avg(c).alias(c) for c in "zyx"], F.avg("v").alias("c"), F.count("*").alias("n"),
+        *[F.avg(c).alias(c) for c in "zyx"], F.try_divide(F.sum("v").cast("double"), F.count("v") * F.lit(float(full))).alias("c"), F.count("*").alias("n"),
         F.count_if(v <= lowmid).alias("nlow"), F.count_if((v > lowmid) & (v <= midhigh)).alias("nmid"), F.count_if(v > midhigh).alias("nhig"),
     )
 

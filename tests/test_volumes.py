@@ -228,6 +228,20 @@ def test_points(spark):
     assert spatial.within(df, df.where("pid = 3"), 6.0).count() == (((p - p[3]) ** 2).sum(1) <= 36).sum()
 
 
+def test_means_do_not_follow_the_order_of_voxels(spark):
+    """Values whose exact mean is the border of two bins: in this order the sum of the quotients is below it."""
+    rng, orders = np.random.default_rng(0), []
+    while not orders:
+        a = rng.integers(0, 256, 64)
+        a[0] += (8160 - a.sum()) % 1020
+        if a[0] < 256 and a.sum() % 1020 == 0 and np.floor(np.cumsum(a / 255.0)[-1] / 64 * 16) < a.sum() // 1020:
+            orders = [a, np.sort(a), np.sort(a)[::-1]]
+    for a in orders:
+        df = spark.createDataFrame([(0, 0, i, int(v), 7) for i, v in enumerate(a)], "z int, y int, x int, v long, label int").coalesce(1)
+        got = superpixels.binned(superpixels.label_stats(df, full=255), 16).first()
+        assert (got.c, got.bin) == (a.sum() / 16320, a.sum() // 1020)
+
+
 def test_nearest_meets_few_points(spark):
     """Many points at one place, and a dense heap: candidates follow k, and the answers are those of brute force."""
     rng = np.random.default_rng(8)
