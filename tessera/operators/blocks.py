@@ -5,7 +5,7 @@ that looks ``reach`` voxels far needs, besides its own block, only slabs of the
 neighbour the part that lies within that neighbour's reach, by a hash of the neighbour's place. The blocks themselves stay
 where they are: they are kept in a table that is bucketed by that hash, so that the join of blocks with their halos moves
 halos only. Blocks at the end of an axis may be smaller; where the reach is larger than a block, slabs come from blocks
-farther off too. A task holds a few blocks at a time.
+farther off too. A task holds a few blocks at a time: kernels run while a table is written, in batches of bounded bytes.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ KEY = ["bz", "by", "bx"]
 EDGE = 64
 #: Voxels that a task packs at once while a volume is cut into blocks.
 PACKED = 1_000_000
+#: Size of a batch of blocks that a worker is given, or one block.
+BATCH_BYTES = "2m"
 _HALO = "array<struct<dz: int, dy: int, dx: int, slab: array<double>, extra: array<double>>>"
 
 #: A kernel: (values (channels, z, y, x) with halos, voxels of halo before the block on each axis, the block's first voxel) to
@@ -64,6 +66,12 @@ def _places(bz: pa.Array, by: pa.Array, bx: pa.Array) -> list[tuple[int, int, in
     return list(zip(bz.to_pylist(), by.to_pylist(), bx.to_pylist(), strict=True))
 
 
+class BlockScratch(Scratch):
+    """Tables of blocks: a row is large, and a kernel makes several times as much of it, so batches are bounded by bytes."""
+
+    SETTINGS = Scratch.SETTINGS | {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
 @dataclass(frozen=True)
 class Blocks:
     """df (bz, by, bx, data array<double>) of a volume of ``shape``; with ``stored``, a table bucketed by (bz, by, bx)."""
@@ -126,9 +134,11 @@ class Blocks:
         return cls(grouped.select(*KEY, dense(*KEY, "chunks").alias("data")), shape, edge, width)
 
     def voxels(self, names: Sequence[str] = ("v",)) -> DataFrame:
-        """(z, y, x and a column for each channel)."""
+        """(z, y, x and a column for each channel). Blocks that aren't stored are written first: whoever reads the voxels then
+        runs no kernels, and batches are those of ``BlockScratch``."""
+        df = self.df if self.stored else BlockScratch(self.df.sparkSession, "blocks").write(self.df, "blocks")
         sizes = [F.least(F.lit(e), F.lit(n) - F.col(b) * e) for b, e, n in zip(KEY, self.edge, self.shape, strict=True)]
-        rows = self.df.select(*KEY, "data", *[s.alias(f"n{a}") for s, a in zip(sizes, "zyx", strict=True)])
+        rows = df.select(*KEY, "data", *[s.alias(f"n{a}") for s, a in zip(sizes, "zyx", strict=True)])
         n = F.col("nz") * F.col("ny") * F.col("nx")
         if self.channels == 1:
             rows = rows.select(*KEY, "ny", "nx", F.posexplode("data").alias("i", names[0]))
@@ -218,7 +228,7 @@ class Blocks:
 
     def kept(self, scratch: Scratch | None = None, table: str = "blocks") -> Blocks:
         """Written to a table in the shared folder, bucketed by place, and read from there."""
-        scratch = scratch or Scratch(self.df.sparkSession, "blocks")
+        scratch = scratch or BlockScratch(self.df.sparkSession, "blocks")
         return replace(self, df=scratch.write_buckets(self.df, table, KEY), stored=True)
 
     def where(self, condition: Column) -> Blocks:

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks
-from tessera.operators.blocks import Blocks
+from tessera.operators.blocks import Blocks, BlockScratch
 from tessera.operators.components import components
-from tessera.sources.shared import Scratch
 
 FACES = [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)]
 #: One of each opposite pair of the 26 neighbours.
@@ -93,7 +92,7 @@ def label_components(vol: DataFrame, shape: tuple[int, int, int], iso: float, ed
     touch across a border they are linked; the components of these links (a table of labels, not of voxels) are sent back
     to the blocks whose labels they change. Voxels are shuffled once, into blocks, and only those above iso.
     """
-    scratch, (_, h, w) = Scratch(vol.sparkSession, "components"), shape
+    scratch, (_, h, w) = BlockScratch(vol.sparkSession, "components"), shape
     on = vol.where(F.col("v") > iso).select("z", "y", "x", F.lit(1.0).alias("v"))
 
     def label(a: np.ndarray, before: tuple, start: tuple) -> np.ndarray:
@@ -119,7 +118,7 @@ def label_components(vol: DataFrame, shape: tuple[int, int, int], iso: float, ed
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return np.zeros(0), np.array([*pairs.ravel()], np.float64)
 
-    pairs = labelled.map(touching, (1, 1, 1), extra=-1).df
+    pairs = scratch.write(labelled.map(touching, (1, 1, 1), extra=-1).df, "pairs")
     n = F.expr("cast(size(extra) / 2 as int)")
     links = pairs.select(F.explode(F.arrays_zip(F.slice("extra", F.lit(1), n).alias("a"), F.slice("extra", n + 1, n).alias("b"))).alias("l"))
     links = links.select(F.col("l.a").cast("long").alias("a"), F.col("l.b").cast("long").alias("b"))

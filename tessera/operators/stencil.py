@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.scalars import blend, clamp, preserve_hue, scrub, well_exposed
 from tessera.operators import blocks
-from tessera.operators.blocks import Blocks
+from tessera.operators.blocks import Blocks, BlockScratch
 from tessera.operators.stats import LEVELS, equalise, rescale
 from tessera.sources.shared import Scratch
 
@@ -130,7 +130,7 @@ def tv_denoise(vol: DataFrame, shape: Triple, weight: float = 0.1, eps: float =
     rows = vol.select("z", "y", "x", F.col("v").cast("double").alias("v"))
     if edge[1:] == (h, w):  # no borders
         return Blocks.of(rows, shape, edge).map(lambda a, before, start: denoise_slice(a[0, 0], weight, eps, most)[None, None]).voxels()
-    scratch = Scratch(vol.sparkSession, "tv")
+    scratch = BlockScratch(vol.sparkSession, "tv")
     zero = F.lit(0.0)
     state = Blocks.of(rows.select("z", "y", "x", "v", zero.alias("p0"), zero.alias("p1")), shape, edge, ("v", "p0", "p1")).kept(scratch, "state-0")
     reach = (0, inner + 1, inner + 1)
@@ -178,7 +178,7 @@ def tv_denoise(vol: DataFrame, shape: Triple, weight: float = 0.1, eps: float =
         scratch.drop(f"state-{turn}")
         turn += 1
     scratch.keep(*[f"done-{i}" for i in range(turn)])
-    return Blocks(functools.reduce(DataFrame.unionByName, done), shape, edge).voxels() if done else rows
+    return Blocks(functools.reduce(DataFrame.unionByName, done), shape, edge, stored=True).voxels() if done else rows
 
 
 def local_global_contrast(vol: DataFrame, shape: Triple, lam: float | None = None) -> DataFrame:

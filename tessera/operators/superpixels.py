@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.blocks import KEY, Blocks
+from tessera.operators.blocks import KEY, Blocks, BlockScratch
 from tessera.sources.shared import Scratch
 
 Triple = tuple[int, int, int]
@@ -85,7 +85,7 @@ def snic(vol: DataFrame, shape: Triple, block: int, step: int = 8, compactness:
     Blocks without a seed in reach wait for their neighbours. Missing voxels of a block count as 0; blocks without a voxel
     are left out.
     """
-    scratch = Scratch(vol.sparkSession, "snic")
+    scratch = BlockScratch(vol.sparkSession, "snic")
     rows = vol.select("z", "y", "x", F.col("v").cast("double").alias("v"), F.lit(0.0).alias("label"))
     raw = Blocks.of(rows, shape, block, ("v", "label")).kept(scratch, "raw")
     edge, reach = raw.edge, tuple(min(step, n) for n in shape)

@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -143,3 +145,23 @@ def test_total_variation_in_tiles(spark, tile, inner, most):
     assert np.allclose(got, want, atol=1e-12)  # each slice ends at the step where it ends as a whole
     for a, b, x in zip(got, want, v, strict=True):
         assert energy(a, x, 0.1) == pytest.approx(energy(b, x, 0.1), rel=1e-9)
+
+
+def test_batches_of_blocks_are_bounded_by_bytes(spark):
+    """A worker is given a few blocks at a time, whatever the number of blocks in a task; whoever reads the voxels runs none."""
+    shape, edge = (256, 64, 64), 8
+    vol = spark.range(4 * 64**3).select(*[F.expr(f"cast(id div {n} % {256 if a == 'z' else 64} as int)").alias(a) for a, n in (("z", 4096), ("y", 64), ("x", 1))], F.lit(1.0).alias("v"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<double>")
+    def note(data: pa.Array) -> pa.Array:
+        seen.add(1)
+        return data
+
+    cut = Blocks.of(vol.coalesce(1), shape, edge)
+    df = cut.df.coalesce(1)
+    out = replace(cut, df=df.withColumn("data", note("data"))).voxels()
+    ran = seen.value
+    assert ran >= 4  # 8 MB in 2048 blocks, one batch before
+    assert out.agg(F.sum("v")).first()[0] == 4 * 64.0**3 and seen.value == ran
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
