@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import hashing
 from tessera.sources import shared
 
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 512
 #: Bytes of a batch that a function works on at once, or one row: what a worker makes of a text is some ten times as large.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Stands for a null id inside joins; a null id sorts before all others.
 NULL_ID = -(2**63)
 
@@ -56,6 +57,7 @@ def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.Record
 
 def trim() -> None:
     """Give freed memory back to the system: workers live on after a task, and the next one may be another operator's."""
+    hashing.forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -73,12 +75,12 @@ def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """mapInArrow by a function of a batch of bounded size; it may return None for no rows."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow by a function of a batch of about ``most`` bytes; it may return None for no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 if part.num_rows and (out := f(part)) is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 

@@ -24,6 +24,11 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(16, int(n).bit_length()), base)
 
 
+def forget() -> None:
+    """Drop the powers that are kept: as many as the largest batch has bytes, 16 bytes each."""
+    _powers.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -19,6 +19,8 @@ BITS = 18
 #: Labelled rows that a fit takes at most: those whose ids' hashes are smallest.
 SAMPLE = 6000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
+#: Bytes of texts that a task works on at once, or one text: what it makes of them is some eighty times as large.
+BATCH = 500_000
 #: What a share of the words is multiplied by.
 SCALE = 12.0
 
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = chosen.orderBy(F.xxhash64("lid"), "lid", "y").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("lid"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "lid")
     rows = rows.groupBy("lid", "y").agg(F.min("text").alias("text")).select("y", "text")  # an id that many rows have counts once
-    sparse = map_batches(rows, _sparse, "y int, place array<int>, value array<float>")
+    sparse = map_batches(rows, _sparse, "y int, place array<int>, value array<float>", BATCH)
     found = sparse.repartition(1).mapInArrow(_train, "weights binary").collect()
     return np.frombuffer(bytes(found[0].weights), np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
@@ -139,7 +141,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataF
         return pa.Table.from_batches([batch]).append_column("score", pa.array(scores)).append_column("predicted", pa.array((scores >= threshold).astype(np.int32)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(docs, run, f"{fields}, score double, predicted int")
+    return map_batches(docs, run, f"{fields}, score double, predicted int", BATCH)
 
 
 def held_out(column: str = "doc_id"):

@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import quality
+from tessera.llm import common, hashing, quality
 from tessera.llm.hashing import Words
 
 
@@ -43,3 +44,24 @@ def test_learns_and_scores_held_out_rows(spark):
     assert {r.score for r in got if r.doc_id == 1000} == {r.score for r in got if r.doc_id == 1001}
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_a_worker_holds_little_of_a_large_batch_and_keeps_nothing(spark, monkeypatch):
+    handed, real = [], common.map_batches
+
+    def seen(df, f, schema, most=common.BATCH_BYTES):
+        handed.append((f, most))
+        return real(df, f, schema, most)
+
+    monkeypatch.setattr(quality, "map_batches", seen)
+    quality.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), np.zeros((1 << quality.BITS) + 1, np.float32))
+    batch = pa.record_batch([pa.array(range(4000)), pa.array(["word " * 300] * 4000)], ["doc_id", "text"])  # 6 MB
+    ((f, most),) = handed
+    tracemalloc.start()
+    n = sum(f(part).num_rows for part in common.slices(batch, most))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and peak < 100e6
+    assert hashing._powers.cache_info().currsize
+    list(common.trimmed(lambda batches: iter(batches))([]))
+    assert not hashing._powers.cache_info().currsize
