@@ -4,9 +4,9 @@
    add equal hashes up and send 32 bits of each to a shard named by the bits before; shards add the counts up. Phrases
    that share those bits are counted as one, so that a count may be too large and never too small: no frequent phrase is
    lost. The hashes that reach the least count become a bitmap of ``BITS`` bits, whatever the input is.
-2. The phrases that pass the three bitmaps are sent to shards of some ``SLOTS`` candidates, as word hashes (their stored
-   keys) with counts. Each shard gets a minimal perfect hash of its keys. A shard's mappers (several a shard) look slots
-   up, compare the stored keys and bincount into an array by slot; these arrays are added up as a tree.
+2. The phrases that pass the three bitmaps are sent to shards of some ``SLOTS`` candidates, once a mapper, as the hashes of
+   their words (their stored keys) with counts, and nowhere else; where a shard is dealt to several tasks, these are added up
+   as a tree. Each shard gets a minimal perfect hash of its keys, and an array of counts by slot.
 3. Cuts are read by slot: each frequent phrase asks the shards of its parts, by slot, how often they occur.
 
 Counts are exact: what passes a bitmap by chance is counted as itself, and if two different words, or two phrases of a
@@ -18,6 +18,7 @@ many phrases ask are read by several tasks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -200,7 +201,9 @@ def _level(scratch: Scratch, texts: DataFrame, level: int, bitmaps: list, attemp
         ]
         yield pa.record_batch(columns, ["shard", "low", "times", "lang", "n"])
 
-    counted = scratch.write(texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "shard int, low binary, times binary, lang string, n long"), f"level-{level}")
+    counted = texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "shard int, low binary, times binary, lang string, n long")
+    if level == 1:  # which is read twice
+        counted = scratch.write(counted, "level-1")
 
     def summed(state: dict) -> None:
         low, at = np.unique(np.concatenate(state["low"]), return_inverse=True)
@@ -229,7 +232,7 @@ def _level(scratch: Scratch, texts: DataFrame, level: int, bitmaps: list, attemp
         bitmap[row.shard << (BITS - shards - 3) : (row.shard + 1) << (BITS - shards - 3)] = np.frombuffer(row.bits, np.uint8)
         total += row.found
     n = scratch.write(counted.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "n") if level == 1 else None
-    scratch.drop(f"level-{level}", f"found-{level}")
+    scratch.drop("level-1", f"found-{level}")
     return bitmap, total, n
 
 
@@ -237,8 +240,59 @@ def _shard(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
 
 
+def _names(texts: DataFrame, bitmap, attempt: int, most: int) -> DataFrame:
+    """(w, name, clash): the words that may be frequent by their hashes, once a mapper or oftener; clash: if two in a mapper have one."""
+
+    def make(batch: pa.RecordBatch) -> tuple:
+        phrases = Phrases(batch, attempt)
+        at = phrases.frequent([bitmap.value], 1)
+        values, first, which = np.unique(phrases.hashes[at], return_index=True, return_inverse=True)
+        other = phrases.words.hashes(_base(attempt + ATTEMPTS))[at]
+        names = pa.table([pa.array(phrases.langs, pa.string()).take(pa.array(phrases.words.row[at[first]])), pa.array(values), phrases.text(at[first])], ["lang", "w", "word"])
+        return values, names, bool((other[first[which]] != other).any())
+
+    def merge(held: list) -> tuple:
+        names, clash = pa.concat_tables([x[1] for x in held]).combine_chunks(), any(x[2] for x in held)
+        values, first, which = np.unique(names["w"].to_numpy(), return_index=True, return_inverse=True)
+        clash |= any(not names[c].take(pa.array(first[which])).equals(names[c]) for c in ("lang", "word"))
+        return values, names.take(pa.array(first)).combine_chunks(), clash
+
+    def flush(values: np.ndarray, names: pa.Table, clash: bool) -> Iterator[pa.RecordBatch]:
+        rows = names.set_column(1, "w", pa.array(values.view(np.int64))).append_column("clash", pa.array(np.full(len(values), clash)))
+        yield from rows.to_batches(max_chunksize=BLOB)
+
+    found = texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "lang string, w long, word string, clash boolean")
+    return found.select("w", F.struct("lang", "word").alias("name"), "clash")
+
+
+def _counts_bytes(times: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return times.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if int(times.max(initial=0)) <= np.iinfo(t).max)).tobytes()
+
+
+def _sent(keys: np.ndarray, times: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(shard, words, their hashes, counts) of distinct candidates (hash, then word hashes, 0 for none). What is sent of a
+    phrase is the hashes of its own words, by its first word, so that runs of equal ones are compressed."""
+    shard, size = _shard(keys[0], shards), 1 + (keys[2] > 0) + (keys[3] > 0)
+    order = np.lexsort((keys[1], shard * 4 + size))
+    keys, times, kind = keys[1:, order], times[order], (shard * 4 + size)[order]
+    for a, b in _runs(kind):
+        k = int(kind[a]) % 4
+        for i in range(a, b, BLOB):
+            j = min(i + BLOB, b)
+            yield int(kind[a]) // 4, k, np.ascontiguousarray(keys[:k, i:j]).tobytes(), _counts_bytes(times[i:j])
+
+
+def _received(size: int, words: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (hash, then word hashes, 0 for none) and counts of a row of ``_sent``."""
+    own = np.frombuffer(words, np.uint64).reshape(size, -1)
+    keys = np.zeros((4, own.shape[1]), np.uint64)
+    keys[0], keys[1 : size + 1] = gram(*own), own
+    return keys, np.frombuffer(times, f"<u{len(times) // own.shape[1]}").astype(np.int64)
+
+
 def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, parts: int, most: int) -> DataFrame:
-    """Candidates with counts by shard (``keys``: hash, then word hashes, 0 for none), and the words by their hashes."""
+    """(shard, part, size, words, times): candidates with counts by shard, as rows of ``_sent``."""
 
     def make(batch: pa.RecordBatch) -> tuple:
         phrases, maps = Phrases(batch, attempt), [b.value for b in bitmaps]
@@ -248,110 +302,71 @@ def _occurrences(texts: DataFrame, bitmaps: list, attempt: int, shards: int, par
             own = [phrases.hashes[at + j] for j in range(k)]
             for column, x in zip(keys, [gram(*own), *own, *[np.zeros(len(at), np.uint64)] * (3 - k)], strict=True):
                 column.append(x)
-            if k == 1:
-                values, first, which = np.unique(own[0], return_index=True, return_inverse=True)
-                other = phrases.words.hashes(_base(attempt + ATTEMPTS))[at]
-                clash = bool((other[first[which]] != other).any())
-                names = pa.table([pa.array(phrases.langs).take(pa.array(phrases.words.row[at[first]])), pa.array(values), phrases.text(at[first])], ["lang", "w", "word"])
         keys = [np.concatenate(x) for x in keys]
         keys, times = _added(keys, np.ones(len(keys[0]), np.int64))
-        return keys[0], keys, times, names, clash
+        return keys[0], keys, times
 
     def merge(held: list) -> tuple:
         keys, times = _added([np.concatenate([x[1][i] for x in held]) for i in range(4)], np.concatenate([x[2] for x in held]))
-        names, clash = pa.concat_tables([x[3] for x in held]).combine_chunks(), any(x[4] for x in held)
-        _, first, which = np.unique(names["w"].to_numpy(), return_index=True, return_inverse=True)
-        clash |= any(not names[c].take(pa.array(first[which])).equals(names[c]) for c in ("lang", "word"))
-        return keys[0], keys, times, names.take(pa.array(first)).combine_chunks(), clash
-
-    def flush(_, keys: list[np.ndarray], times: np.ndarray, names: pa.Table, clash: bool) -> Iterator[pa.RecordBatch]:
-        keys, times = np.stack(keys), times.astype(np.uint32)
-        shard, part = _shard(keys[0], shards), TaskContext.get().partitionId() % parts
-        runs = [(i, min(i + BLOB, b)) for a, b in _runs(shard) for i in range(a, b, BLOB)]
-
-        names = names.sort_by("lang")
-        lang, ends = names["lang"].to_pylist(), [0]
-        for k in range(1, len(lang) + 1):
-            if k == len(lang) or lang[k] != lang[k - 1]:
-                ends.append(k)
-        k, m = len(runs), len(ends) - 1
-        lists = lambda x: pa.ListArray.from_arrays(pa.array([0] * k + ends, pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
-        columns = [
-            pa.array([int(shard[a]) for a, _ in runs] + [None] * m, pa.int32()),
-            pa.array([part] * k + [None] * m, pa.int32()),
-            pa.array([np.ascontiguousarray(keys[:, a:b]).tobytes() for a, b in runs] + [None] * m, pa.binary()),
-            pa.array([times[a:b].tobytes() for a, b in runs] + [None] * m, pa.binary()),
-            pa.array([None] * k + [lang[i] for i in ends[:-1]], pa.string()),
-            lists(pa.array(names["w"].to_numpy().view(np.int64))),
-            lists(names["word"]),
-            pa.array([clash] * (k + m), pa.bool_()),
-        ]
-        rows = pa.record_batch(columns, ["shard", "part", "keys", "times", "lang", "ws", "words", "clash"])
-        yield from (rows.slice(i, ROWS) for i in range(0, rows.num_rows, ROWS))
+        return keys[0], keys, times
 
-    return texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), "shard int, part int, keys binary, times binary, lang string, ws array<long>, words array<string>, clash boolean")
+    def flush(_, keys: list[np.ndarray], times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % parts
+        yield from _rows(_sent(np.stack(keys), times, shards), part)
 
+    return texts.mapInArrow(trimmed(_gathered(make, merge, flush, most)), _SENT)
 
-def _tables(keys: DataFrame, n_tasks: int) -> DataFrame:
-    """(shard, hash, stored, clash): each shard's minimal perfect hash and its stored keys by slot."""
 
-    def distinct(state: dict) -> None:
-        all_keys = np.concatenate(state["keys"], axis=1)
-        all_keys = all_keys[:, np.lexsort(all_keys[::-1])]
-        new = np.ones(all_keys.shape[1], bool)
-        new[1:] = (all_keys[:, 1:] != all_keys[:, :-1]).any(axis=0)
-        state["keys"] = [all_keys[:, new]]
-        state["size"] = state["keys"][0].shape[1]
+_SENT = "shard int, part int, size int, words binary, times binary"
 
-    def add(state: dict, row: dict) -> None:
-        state["keys"].append(np.frombuffer(row["keys"], np.uint64).reshape(4, -1))
-        state["new"] += state["keys"][-1].shape[1]
-        if state["new"] > max(HELD // 4, state["size"]):
-            distinct(state)
-            state["new"] = 0
 
-    def end(key: tuple, state: dict) -> Iterator[pa.RecordBatch]:
-        distinct(state)
-        own = state["keys"][0]
-        clash = bool((own[0, 1:] == own[0, :-1]).any())
-        own = own[:, np.concatenate(([True], own[0, 1:] != own[0, :-1]))]
-        perfect = PerfectHash.of(own[0])
-        stored = np.zeros((3, perfect.n), np.uint64)
-        stored[:, perfect.slots(own[0])] = own[1:]
-        columns = [pa.array(key, pa.int32()), pa.array([perfect.to_bytes()], pa.binary()), pa.array([stored.tobytes()], pa.binary()), pa.array([clash])]
-        yield pa.record_batch(columns, ["shard", "hash", "stored", "clash"])
+def _rows(sent: Iterator[tuple[int, int, bytes, bytes]], part: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_SENT``, a few at once."""
+    while some := list(itertools.islice(sent, ROWS)):
+        shard, size, words, times = zip(*some, strict=True)
+        yield pa.record_batch([pa.array(shard, pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.binary()), pa.array(times, pa.binary())], ["shard", "part", "size", "words", "times"])
 
-    return _grouped(keys, n_tasks, ["shard"], lambda: {"keys": [], "new": 0, "size": 0}, add, end, "shard int, hash binary, stored binary, clash boolean")
 
+def _tables(sent: DataFrame, n_tasks: int, shards: int, parts: int) -> DataFrame:
+    """(shard, hash, stored, counts, clash): each shard's minimal perfect hash, its stored keys and their counts by slot.
 
-def _counts(keys: DataFrame, tables: DataFrame, n_tasks: int, parts: int) -> DataFrame:
-    """(shard, counts): of each shard, how often each slot's key occurs."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = tables.select("shard", every.alias("part"), F.lit(0).alias("kind"), F.col("hash").alias("a"), F.col("stored").alias("b"))
-    rows = rows.unionByName(keys.select("shard", "part", F.lit(1).alias("kind"), F.col("keys").alias("a"), F.col("times").alias("b")))
+    A shard that is dealt to several parts is added up as a tree: each sends its keys on once."""
+
+    def added(state: dict) -> None:
+        keys, times = _added(list(np.concatenate(state["keys"], axis=1)), np.concatenate(state["times"]))
+        state["keys"], state["times"], state["size"], state["new"] = [np.stack(keys)], [times], len(times), 0
 
     def add(state: dict, row: dict) -> None:
-        if row["kind"] == 0:
-            state["perfect"], state["stored"] = PerfectHash.from_bytes(row["a"]), np.frombuffer(row["b"], np.uint64).reshape(3, -1)
-            state["counts"] = np.zeros(state["perfect"].n, np.int64)
-            return
-        own = np.frombuffer(row["a"], np.uint64).reshape(4, -1)
-        slots = state["perfect"].slots(own[0])
-        same = (slots >= 0) & (state["stored"][:, slots] == own[1:]).all(axis=0)
-        state["counts"] += np.bincount(slots[same], np.frombuffer(row["b"], np.uint32)[same], len(state["counts"])).astype(np.int64)
-
-    def arrays(key: tuple, state: dict) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([state["counts"].tobytes()], pa.binary())], ["shard", "part", "counts"])
-
-    def plus(state: dict, row: dict) -> None:
-        state["counts"] = state.get("counts", 0) + np.frombuffer(row["counts"], np.int64)
-
-    schema = "shard int, part int, counts binary"
-    out = _grouped(rows, n_tasks, ["shard", "part"], dict, add, arrays, schema, "kind")
-    while parts > 1:  # a tree of sums
+        keys, times = _received(row["size"], row["words"], row["times"])
+        state["keys"].append(keys)
+        state["times"].append(times)
+        state["new"] += len(times)
+        if state["new"] > max(HELD // 4, state["size"]):
+            added(state)
+
+    def on(key: tuple, state: dict) -> Iterator[pa.RecordBatch]:
+        added(state)
+        yield from _rows(_sent(state["keys"][0], state["times"][0], shards), key[1])
+
+    def end(key: tuple, state: dict) -> Iterator[pa.RecordBatch]:
+        added(state)
+        own = state["keys"][0]
+        new = np.concatenate(([True], own[0, 1:] != own[0, :-1]))
+        perfect = PerfectHash.of(own[0, new])
+        slots = perfect.slots(own[0])
+        stored = np.zeros((3, perfect.n), np.uint64)
+        stored[:, slots] = own[1:]
+        counts = np.zeros(perfect.n, np.int64)
+        counts[slots] = state["times"][0]
+        columns = [pa.array([key[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in (perfect.to_bytes(), stored.tobytes(), counts.tobytes())), pa.array([not new.all()])]
+        yield pa.record_batch(columns, ["shard", "hash", "stored", "counts", "clash"])
+
+    begin = lambda: {"keys": [], "times": [], "new": 0, "size": 0}
+    while parts > 1:
+        sent = _grouped(sent, n_tasks, ["shard", "part"], begin, add, on, _SENT)
         parts = -(-parts // FAN)
-        out = _grouped(out.withColumn("part", F.floor(F.col("part") / FAN).cast("int")), n_tasks, ["shard", "part"], dict, plus, arrays, schema)
-    return out.select("shard", "counts")
+        sent = sent.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+    return _grouped(sent, n_tasks, ["shard"], begin, add, end, "shard int, hash binary, stored binary, counts binary, clash boolean")
 
 
 def _frequent(least: int, shards: int, ask: bool) -> Callable:
@@ -408,8 +423,8 @@ def _answers(slots: DataFrame, asked: DataFrame, n_tasks: int, parts: int) -> Da
     return rows.repartition(n_tasks, "shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(run, "phrase long, which int, f long")
 
 
-def _clashes(occurrences: DataFrame, tables: DataFrame, words: DataFrame) -> bool:
-    return bool(occurrences.where("clash").limit(1).count() or tables.where("clash").limit(1).count() or words.where("clash").limit(1).count())
+def _clashes(*tables: DataFrame) -> bool:
+    return any(table.where("clash").limit(1).count() for table in tables)
 
 
 def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP, held: int = HELD, keys_a_shard: int = SLOTS) -> DataFrame:
@@ -437,22 +452,16 @@ def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP
             candidates += found
         shards = max(0, (-(-candidates // keys_a_shard) - 1).bit_length())
         parts = max(1, min(FAN * FAN, n_tasks >> shards))
-        occurrences = scratch.write(_occurrences(texts, bitmaps, attempt, shards, parts, held // 2), "occurrences")
+        slots = scratch.write(_tables(_occurrences(texts, bitmaps, attempt, shards, parts, held // 2), n_tasks, shards, parts), "slots")
+        words = _names(texts, bitmaps[0], attempt, held).groupBy("w").agg(F.min("name").alias("name"), (F.max("clash") | (F.min("name") != F.max("name"))).alias("clash"))
+        words = scratch.write(words.select("w", "name.lang", "name.word", "clash"), "words")
         for b in bitmaps:
             b.unpersist()
-        keys = occurrences.where("keys is not null")
-        tables = scratch.write(_tables(keys.select("shard", "keys"), n_tasks), "tables")
-        named = occurrences.where("lang is not null").select("lang", F.explode(F.arrays_zip("ws", "words")).alias("w")).select(F.col("w.ws").alias("w"), F.struct("lang", F.col("w.words").alias("word")).alias("name"))
-        words = named.groupBy("w").agg(F.min("name").alias("name"), (F.min("name") != F.max("name")).alias("clash"))
-        words = scratch.write(words.select("w", "name.lang", "name.word", "clash"), "words")
-        if not _clashes(occurrences, tables, words):
+        if not _clashes(slots, words):
             break
         scratch.keep()
     else:
         raise RuntimeError("words or phrases with equal hashes in every attempt")
-    counts = _counts(keys.select("shard", "part", "keys", "times"), tables, n_tasks, parts)
-    slots = scratch.write(tables.select("shard", "hash", "stored").join(counts, "shard"), "slots")
-    scratch.drop("occurrences", "tables")
 
     frequent = slots.select("shard", "stored", "counts")
     asked = frequent.mapInArrow(_frequent(least, shards, True), "shard int, asks int, asked binary")

@@ -89,6 +89,26 @@ def test_words_with_one_hash_are_seen_and_hashed_anew(spark, monkeypatch):
     assert real(none, none, two) and real(none, two, none) and real(two, none, none) and not real(none, none, none)
 
 
+def test_what_is_sent_of_a_phrase_is_its_words_hashes(spark, monkeypatch):
+    words = mix(np.arange(1, 30_001, dtype=np.uint64)).reshape(3, -1)
+    words[2, :7000], words[1, :4000] = 0, 0  # of one, two and three words
+    size = (words > 0).sum(axis=0)
+    keys = np.stack([np.concatenate([collocations.gram(*words[:k, size == k]) for k in (1, 2, 3)]), *words])
+    times = np.arange(10_000) % 255 + 1
+    times[-1] = 2**33
+    rows = list(collocations._sent(keys, times, 2))
+    assert sum(len(x) for _, _, x, _ in rows) == 8 * size.sum()  # and not four numbers each
+    assert sum(len(x) for *_, x in rows) < 2 * len(times) + 8 * collocations.BLOB
+    got = [collocations._received(k, w, t) for _, k, w, t in rows]
+    assert all((k[0] >> np.uint64(62) == shard).all() for (shard, *_), (k, _) in zip(rows, got, strict=True))
+    assert sorted(x for k, t in got for x in zip(*k.tolist(), t.tolist(), strict=True)) == sorted(zip(*keys.tolist(), times.tolist(), strict=True))
+
+    written, write = [], collocations._Scratch.write
+    monkeypatch.setattr(collocations._Scratch, "write", lambda self, df, table: (written.append(table), write(self, df, table))[1])
+    assert collocations.mine(spark.createDataFrame([("en", "new york city")] * 12, "lang string, text string")).count() == 1
+    assert "slots" in written and not {"occurrences", "level-2", "level-3"} & set(written)  # they go to their shards without a table
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash(n):
     keys = mix(np.arange(1, n + 1, dtype=np.uint64))
