@@ -26,7 +26,7 @@ KEY = ["bz", "by", "bx"]
 #: Edge of a block.
 EDGE = 64
 #: Voxels that a task packs at once while a volume is cut into blocks.
-PACKED = 1_000_000
+PACKED = 1 << 17
 #: Size of a batch of blocks that a worker is given, or one block.
 BATCH_BYTES = "2m"
 _HALO = "array<struct<dz: int, dy: int, dx: int, slab: array<double>, extra: array<double>>>"

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -165,3 +166,20 @@ def test_batches_of_blocks_are_bounded_by_bytes(spark):
     assert ran >= 4  # 8 MB in 2048 blocks, one batch before
     assert out.agg(F.sum("v")).first()[0] == 4 * 64.0**3 and seen.value == ran
     assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_that_packs_a_volume_holds_little_of_it(spark, monkeypatch):
+    frame, made = type(spark.range(0)), []
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a: (made.append(f), real(self, f, schema, *a))[1])
+    vol = spark.createDataFrame([(0, 0, 0, 1.0)], "z int, y int, x int, v double").withColumn("p", F.lit(0.0)).withColumn("q", F.lit(0.0))
+    Blocks.of(vol, (1, 1024, 1024), (1, 64, 64), ("v", "p", "q"))
+    at = np.random.default_rng(0).permutation(1 << 20).astype(np.int32)
+    names = ["z", "y", "x", "v", "p", "q"]
+    batches = (pa.record_batch([0 * i, i >> 10, i & 1023, *[i.astype(float)] * 3], names) for i in np.split(at, 128))
+    tracemalloc.start()
+    sizes = [len(c) for out in made[0](batches) for c in out["chunk"].to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) - 8 * len(sizes) == 32 << 20  # every voxel: its place and three values
+    assert peak < 60e6
