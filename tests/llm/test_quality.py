@@ -49,9 +49,9 @@ def test_learns_and_scores_held_out_rows(spark):
 def test_a_worker_holds_little_of_a_large_batch_and_keeps_nothing(spark, monkeypatch):
     handed, real = [], common.map_batches
 
-    def seen(df, f, schema, most=common.BATCH_BYTES):
-        handed.append((f, most))
-        return real(df, f, schema, most)
+    def seen(df, f, schema, *most):
+        handed.append((f, *(most or [common.BATCH_BYTES])))
+        return real(df, f, schema, *most)
 
     monkeypatch.setattr(quality, "map_batches", seen)
     quality.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), np.zeros((1 << quality.BITS) + 1, np.float32))
