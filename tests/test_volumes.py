@@ -262,6 +262,28 @@ def test_nearest_meets_few_points(spark):
     assert plan.index("Generate explode(pids") < plan.index("Join")  # ids are paired after the join of places
 
 
+def test_pairs_within_a_radius_are_written_small(spark, tmp_path):
+    """512 places of 100 points in one cell, asked from 40 places: each pair is there, and a row takes a part of a byte."""
+    at = ["int(n div 64) as z", "int(n div 8 % 8) as y", "int(n % 8) as x"]
+    points = spark.range(51200).selectExpr("id as pid", "id % 512 as n").selectExpr("pid", *at)
+    asks = spark.range(40).selectExpr("id as pid", "id * 12 as n").selectExpr("pid", *at)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the join that large inputs take
+    try:
+        spatial.within(points, asks, 9.0, digits=6).write.parquet(f"{tmp_path}/pairs")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    p = np.array([(n // 64, n // 8 % 8, n % 8) for n in range(512)])
+    d = {(q, n): round(float(np.sqrt(((p[n] - p[q * 12]) ** 2).sum())), 6) for q in range(40) for n in range(512)}
+    want = {(q, n, x) for (q, n), x in d.items() if x <= 9.0}
+    found = got.groupBy("query_id", F.expr("pid % 512").alias("n"), "dist").agg(F.count("*").alias("rows"), F.countDistinct("pid").alias("pids")).collect()
+    assert {(r.query_id, r.n, r.dist) for r in found} == want and len(found) == len(want)
+    assert all(r.rows == r.pids == 100 for r in found)
+    written = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert written < 0.5 * 100 * len(want)
+
+
 def test_store_and_stream(spark, tmp_path):
     a = np.random.default_rng(7).integers(0, 255, (6, 4, 4))
     vol = frame(spark, a, "int")
